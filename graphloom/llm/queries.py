@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, mixing, neardup, secrets
+from graphloom.llm import chat, decontam, mixing, neardup, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op6_format_chats(spark, sf_dir):
     return chat.digests(chat.format_chats(turns)).drop("valid")
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_decontamination(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_secrets(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("n_live", "n_copied")
 
