@@ -14,6 +14,8 @@ BUCKETS, MANTISSA, BAND = 128, 10, 4
 ALONE = 5
 #: Members of one star that are verified against one copy of its centre.
 STAR = 256
+#: Members of a cluster's block; two blocks make a tile.
+TILE = 128
 _REST = np.uint64(53)
 _PROBE = np.stack([np.random.default_rng(j).permutation(BUCKETS) for j in range(BUCKETS)])
 SIGNED = "doc_id long, set1 long, set2 long, n long, sig binary"
@@ -116,44 +118,60 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         mark = seen
 
 
-def _plausible(low):
+def _tile(k, percent, low):
+    """Confirms links inside tiles. Emitted are links that join components of a tile, at most one less than its members."""
+
+    def links(held):
+        comp = [h[1] for h in held]
+        n = np.array([h[2] for h in held])
+        block = np.array([h[4] for h in held])
+        sig = np.stack([np.frombuffer(h[3], dtype=np.uint16) for h in held])
+        sets = list(_sets(pa.array([h[6] for h in held], pa.string()), k))
+        across = not held[0][5]
+        roots = {c: c for c in comp}
+
+        def find(c):
+            while roots[c] != c:
+                roots[c] = c = roots[roots[c]]
+            return c
+
+        for i in range(len(held) - 1):
+            rest = slice(i + 1, None)
+            fit = (100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest])) & ((estimate((sig[rest] == sig[i]).mean(axis=1)) >= low) | (n[rest] < 64))
+            if across:
+                fit &= block[rest] != block[i]
+            for j in np.flatnonzero(fit) + i + 1:
+                x, y = find(comp[i]), find(comp[j])
+                if x != y:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        roots[max(x, y)] = min(x, y)
+                        yield held[i][0], held[j][0]
+
     def run(batches):
         key, held = None, []
-
-        def pairs(held):
-            ids = np.array([h[0] for h in held])
-            comp = np.array([h[1] for h in held])
-            n = np.array([h[2] for h in held])
-            sig = np.stack([np.frombuffer(h[3], dtype=np.uint16) for h in held])
-            for i in range(len(held) - 1):
-                rest = slice(i + 1, None)
-                fit = (comp[rest] != comp[i]) & (100 * np.minimum(n[i], n[rest]) >= 85 * np.maximum(n[i], n[rest]))
-                fit &= (estimate((sig[rest] == sig[i]).mean(axis=1)) >= low) | (n[rest] < 64)
-                for j in np.flatnonzero(fit) + i + 1:
-                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
-
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[0] != key:
-                    out += pairs(held) if len(held) > 1 else []
+                    out += links(held) if len(held) > 1 else []
                     key, held = row[0], []
                 held.append(row[1:])
-            yield pa.RecordBatch.from_arrays([pa.array([int(x[0]) for x in out], pa.int64()), pa.array([int(x[1]) for x in out], pa.int64())], names=["lead", "rep"])
-        if len(held) > 1:
-            out = list(pairs(held))
-            yield pa.RecordBatch.from_arrays([pa.array([int(x[0]) for x in out], pa.int64()), pa.array([int(x[1]) for x in out], pa.int64())], names=["lead", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["lead", "rep"])
+        out = list(links(held)) if len(held) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["lead", "rep"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, low: float = 0.66) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, low: float = 0.7) -> DataFrame:
     """docs: doc_id, text. One row per row: doc_id, n_shingles, component_id, kept.
 
     Texts of equal shingle sets fall together first. Bands of registers give candidates: every member of a bucket against the
     bucket's least document, so a bucket of any size gives as many candidates as it has members. Full shingle sets confirm them.
-    Then, in buckets that still hold several components, members of different components whose collision-corrected estimate is
-    at least `low` are confirmed too, so links between members that both differ from the least one aren't lost.
+    Then documents of buckets that still hold several components meet in tiles, where pairs of different components whose
+    collision-corrected estimate is at least `low` are confirmed too, so links between members that both differ from the least
+    one aren't lost. Tiles emit only the links that join components, so their output follows the number of members.
 
     Null and empty texts have no shingles and are linked with nothing; repeated rows are one text; a null doc_id keeps a row
     without component; no rows give no rows.
@@ -174,14 +192,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, low: float =
     links = staged(verify(staged(stars, "stars"), texts, k, percent), "links")
     roots = components(links.toDF("a", "b"))
     named = bands.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
-    several = named.groupBy("band").agg(F.count("rep").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band", F.ceil(F.col("c") / STAR).cast("int").alias("blocks"))
-    open_ = named.join(several, "band").join(reps, "rep").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = open_.select("*", other).select(F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), "rep", "root", "n", "sig")
-    more = tiles.repartition(partitions(spark), "tile").sortWithinPartitions("tile", "rep").mapInArrow(_plausible(low), "lead long, rep long").distinct()
-    more = staged(more.join(stars, ["lead", "rep"], "left_anti"), "more")
-    found = links.unionByName(verify(more, texts, k, percent))
-    roots = components(found.toDF("a", "b"))
+    several = named.groupBy("band").agg(F.count("rep").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2")
+    # documents that such buckets hold together, directly or in a chain, form a cluster; each is in one
+    open_ = staged(named.join(several.select("band"), "band").select("band", "rep", "root"), "open")
+    firsts = open_.groupBy("band").agg(F.min("rep").alias("a"))
+    chained = components(open_.join(firsts, "band").select("a", F.col("rep").alias("b")))
+    member = open_.select("rep", "root").distinct().join(chained.select(F.col("node").alias("rep"), F.col("root").alias("chain")), "rep", "left").withColumn("chain", F.coalesce("chain", "rep"))
+    size = member.groupBy("chain").agg(F.ceil(F.count("rep") / TILE).cast("int").alias("blocks"))
+    member = member.join(size, "chain").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    member = member.join(reps, "rep").join(texts, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = member.select(F.xxhash64("chain", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), "rep", "root", "n", "sig", "mine", (F.col("mine") == F.col("other")).alias("same"), "text")
+    # a tile of two blocks gets the rows of both; a tile of one block has each row once
+    more = tiles.repartition(partitions(spark), "tile").sortWithinPartitions("tile", "rep").mapInArrow(_tile(k, percent, low), "lead long, rep long")
+    roots = components(links.unionByName(more).toDF("a", "b"))
     whole = groups.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set1", "set2", "n", F.coalesce("root", "rep").alias("root"))
     out = signs.join(whole, ["set1", "set2", "n"], "left").withColumn("component_id", F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
