@@ -20,9 +20,13 @@ _MARKS = ".,;:!?\"'()[]{}<>#$%&*_-=+/\\|~^`@"
 
 
 def shingles(text: Column) -> Column:
-    """Fingerprints of K-word shingles, lower case and without marks, in order; fewer words are one shingle."""
+    """Fingerprints of K-word shingles, lower case and without marks, in order; fewer words are one shingle.
+
+    Each word is hashed once; a shingle is the hash of its words' hashes, where a word that isn't there adds nothing."""
     words = F.filter(F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARKS, ""), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.transform(F.array(words), lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - K + 1)), lambda i: F.xxhash64(F.slice(w, i, K)))))[0]
+    one = lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(K)])
+    some = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - K)), lambda i: one(w, i))
+    return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(some(w)))[0]
 
 
 def _minhash(h: Column, stride: int) -> Column:
@@ -48,6 +52,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     keys = sorted({k for r in rows for k in r["keys"]})
     all_keys = F.array(*[F.lit(k) for k in keys]).cast("array<bigint>")
     hashed = docs.select("doc_id", F.explode_outer(F.array(shingles(F.col("text")))).alias("h"))
+    # windows agree in a band only if their least shingle is one of a template's: a text without any needs no bands
+    wanted = F.array(*[F.lit(x) for x in sorted({x for r in rows for x in r["want"]})]).cast("array<bigint>")
+    hashed = hashed.where(F.arrays_overlap("h", wanted))
     hit = hashed.select("doc_id", "h", F.explode_outer(F.array(F.array_intersect(all_keys, F.concat("h", F.when(F.size("h") > 0, _minhash(F.col("h"), STRIDE)).otherwise(F.array().cast("array<bigint>")))))).alias("hits")).where(F.size("hits") > 0)
     # each key leads to the numbers of its templates; a text is then met with those alone
     of_key: dict[int, list[int]] = {}
