@@ -21,22 +21,23 @@ def words(text: str) -> list[bytes]:
     return _WORD.findall(text.encode("utf-8", "surrogatepass").lower())
 
 
-def tile(item: list[bytes], doc: list[bytes], least: int) -> int:
+def tile(item: list[bytes], doc: list[bytes], least: int, seeds: dict[int, list[int]] | None = None) -> int:
     """Tokens of item that tiles cover. Greedy string tiling: by running Karp-Rabin fingerprints of `least` tokens, find the
-    longest matches of unmarked tokens, mark them, and again until none of `least` tokens or more is left."""
+    longest matches of unmarked tokens, mark them, and again until none of `least` tokens or more is left.
+
+    seeds: for positions of item, those of doc where `least` equal tokens start; looked up here if not given."""
+    if seeds is None:
+        at: dict[tuple, list[int]] = {}
+        for j in range(len(doc) - least + 1):
+            at.setdefault(tuple(doc[j : j + least]), []).append(j)
+        seeds = {i: found for i in range(len(item) - least + 1) if (found := at.get(tuple(item[i : i + least])))}
     free_a, free_b, covered = [True] * len(item), [True] * len(doc), 0
-    seeds: dict[tuple, list[int]] = {}
-    want = {tuple(item[i : i + least]) for i in range(len(item) - least + 1)}
-    for j in range(len(doc) - least + 1):
-        s = tuple(doc[j : j + least])
-        if s in want:
-            seeds.setdefault(s, []).append(j)
-    while True:
+    while covered < len(item):
         best, found = least, []
-        for i in range(len(item) - least + 1):
+        for i, starts in seeds.items():
             if not free_a[i]:
                 continue
-            for j in seeds.get(tuple(item[i : i + least]), ()):
+            for j in starts:
                 n = 0
                 while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and free_a[i + n] and free_b[j + n]:
                     n += 1
@@ -45,47 +46,74 @@ def tile(item: list[bytes], doc: list[bytes], least: int) -> int:
                 elif n == best:
                     found.append((i, j))
         if not found:
-            return covered
+            break
         for i, j in found:
             if all(free_a[i : i + best]) and all(free_b[j : j + best]):
                 free_a[i : i + best] = free_b[j : j + best] = [False] * best
                 covered += best
+    return covered
+
+
+def _seeds(x, bounds, index):
+    """Shared shingles of a step's rows and the items: arrays (row, item, position in item, position in row), in that order."""
+    h, owner, place = index
+    left = np.searchsorted(h, x)
+    hit = np.flatnonzero(h[np.minimum(left, len(h) - 1)] == x)
+    left, count = left[hit], np.searchsorted(h, x[hit], side="right") - left[hit]
+    entry = np.repeat(left - np.cumsum(count) + count, count) + np.arange(count.sum())
+    row = np.searchsorted(bounds, hit, side="right") - 1
+    row, at = np.repeat(row, count), np.repeat(hit - bounds[row], count)
+    order = np.lexsort((at, place[entry], owner[entry], row))
+    return row[order], owner[entry][order], place[entry][order], at[order]
+
+
+def _groups(row, item, place, at, least, need):
+    """(row, item, seeds) of the pairs whose seeds, overlaps included, touch as many tokens of the item as are needed: tiles consist
+    of seeds, so no pair is lost."""
+    if not len(row):
+        return
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])])
+    fresh = new | np.concatenate([[True], place[1:] != place[:-1]])
+    f = np.flatnonzero(fresh)
+    ends = np.append(new[f[1:]], True)
+    step = np.where(ends, least, np.minimum(least, np.append(place[f[1:]], 0) - place[f]))
+    pair = np.cumsum(new) - 1
+    touched = np.bincount(pair[f], weights=step)
+    start = np.append(np.flatnonzero(new), len(row))
+    for g in np.flatnonzero(touched >= need[item[start[:-1]]]):
+        seeds: dict[int, list[int]] = {}
+        for i, j in zip(place[start[g] : start[g + 1]].tolist(), at[start[g] : start[g + 1]].tolist(), strict=True):
+            seeds.setdefault(i, []).append(j)
+        yield int(row[start[g]]), int(item[start[g]]), seeds
 
 
 def _match(items, k, share):
     tokens = [(i, words(t)) for i, t in items]
-    hashes, owner = [], []
+    need = np.array([share * len(t) for _, t in tokens])
+    by_length: dict[int, list] = {}
     for n, (_, t) in enumerate(tokens):
         raw = b" ".join(t)
-        x, _ = shingle_hashes(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), min(k, max(1, len(t))))
-        hashes.append(x)
-        owner.append(np.full(len(x), n))
-    h, o = (np.concatenate(hashes), np.concatenate(owner)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    order = np.argsort(h, kind="stable")
-    h, o = h[order], o[order]
-    lengths = sorted({min(k, len(t)) for _, t in tokens if t})
+        x, _ = shingle_hashes(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), min(k, len(t)))
+        by_length.setdefault(min(k, len(t)), []).append((x, np.full(len(x), n), np.arange(len(x))))
+    indexes = {}
+    for length, parts in by_length.items():
+        h, owner, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(h, kind="stable")
+        indexes[length] = h[order], owner[order], place[order]
 
     def run(batches):
         for batch in batches:
             out = []
             texts, ids = batch.column("text"), batch.column("doc_id")
-            for at, to, data, offsets in steps(texts):
-                maybe: dict[int, set[int]] = {}
-                for length in lengths:
+            for at, _, data, offsets in steps(texts):
+                for length, index in indexes.items():
                     x, bounds = shingle_hashes(data, offsets, length)
-                    left = np.searchsorted(h, x)
-                    hit = np.flatnonzero(h[np.minimum(left, len(h) - 1)] == x) if len(h) else []
-                    rows = np.searchsorted(bounds, hit, side="right") - 1
-                    for r, p in zip(rows, hit, strict=True):
-                        q = left[p]
-                        while q < len(h) and h[q] == x[p]:
-                            maybe.setdefault(int(r), set()).add(int(o[q]))
-                            q += 1
-                for r, found in sorted(maybe.items()):
-                    doc = words(texts[at + r].as_py())
-                    for n in sorted(found):
+                    held, doc = -1, []
+                    for r, n, seeds in _groups(*_seeds(x, bounds, index), length, need):
+                        if r != held:
+                            held, doc = r, words(texts[at + r].as_py())
                         item, t = tokens[n]
-                        covered = tile(t, doc, min(k, len(t)))
+                        covered = tile(t, doc, length, seeds)
                         if covered >= share * len(t):
                             out.append((ids[at + r].as_py(), item, covered, len(t)))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["doc_id", "item_id", "covered", "item_words"])
