@@ -15,6 +15,10 @@ LEN = 200
 #: The first buckets are by strings of Q bytes; each refinement joins the bucket of a position with that of a later offset.
 Q = 50
 SPAN = LEN - Q + 1
+#: Rows that one step of refining takes together, and the kinds of runs up to which a bucket is refined inside one task.
+STEP_ROWS, KINDS = 2_000, 1_000
+#: Windows of larger buckets are first compared by the bytes that PIECE neighbours have in common.
+PIECE = 38
 
 
 def buckets(data: np.ndarray) -> np.ndarray:
@@ -72,20 +76,95 @@ def _anchors(batches):
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), hashes.take(pa.array(row))] + [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in cols[1:5]], names=["doc_id", "key", "bucket", "whole", "first", "n"])
 
 
-def _windows(batches):
-    """The windows of the runs that their bucket alone doesn't settle, refined to identifiers of LEN bytes."""
+def _contexts(batches):
+    """The bytes under the windows of the runs that their bucket alone doesn't settle."""
     for batch in batches:
-        cols = [[] for _ in range(4)]
-        runs = batch.column("runs").to_pylist()
+        row, runs, bytes_ = [], [], []
+        held = batch.column("runs").to_pylist()
         for r, data in enumerate(_texts(batch.column("text"))):
-            b = buckets(data)
-            full = refine(b)
-            for run in runs[r]:
-                at = np.arange(run["first"], run["first"] + run["n"])
-                for c, v in zip(cols, (np.full(len(at), r), np.full(len(at), run["bucket"]), signed(full[at]), at), strict=True):
-                    c.append(v)
-        got = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(got[0])), batch.column("key").take(pa.array(got[0]))] + [pa.array(x) for x in got[1:]], names=["doc_id", "key", "bucket", "window", "first"])
+            for run in held[r]:
+                row.append(r)
+                runs.append((run["bucket"], run["first"], run["n"], run["kinds"]))
+                bytes_.append(data[run["first"] : run["first"] + run["n"] - 1 + LEN].tobytes())
+        at = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), *(pa.array([x[i] for x in runs], pa.int64()) for i in range(4)), pa.array(bytes_, pa.binary())], names=["doc_id", "key", "bucket", "first", "n", "kinds", "bytes"])
+
+
+def _refined(column, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, identifier of LEN bytes) of every window of rows of bytes that hold n windows each."""
+    data = np.frombuffer(b"".join(column), dtype=np.uint8)
+    begin = np.cumsum(n + LEN - 1) - (n + LEN - 1)
+    row = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return row, offset, refine(buckets(data))[begin[row] + offset]
+
+
+def _settle(batches):
+    """Runs of windows that recur in their bucket. Rows come sorted by bucket; whole buckets are refined together, STEP_ROWS rows or
+    one bucket at a time."""
+    held: list[pa.Table] = []
+    rows = 0
+
+    def settled(t: pa.Table):
+        n = t.column("n").to_numpy()
+        bucket = t.column("bucket").to_numpy()
+        row, offset, window = _refined(t.column("bytes").to_pylist(), n)
+        order = np.lexsort((window, bucket[row]))
+        b, w = bucket[row][order], window[order]
+        like = (b[1:] == b[:-1]) & (w[1:] == w[:-1])
+        shared = np.zeros(len(row), dtype=bool)
+        shared[order[1:][like]] = shared[order[:-1][like]] = True
+        begin = np.flatnonzero(shared & np.concatenate([[True], ~shared[:-1] | (row[1:] != row[:-1])]))
+        end = np.flatnonzero(shared & np.concatenate([~shared[1:] | (row[1:] != row[:-1]), [True]]))
+        at = pa.array(row[begin])
+        first = t.column("first").to_numpy()[row[begin]] + offset[begin]
+        return pa.table([t.column("doc_id").take(at), t.column("key").take(at), pa.array(first), pa.array(end - begin + 1)], names=["doc_id", "key", "first", "n"]).combine_chunks()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        if rows >= STEP_ROWS:
+            t = pa.concat_tables(held).combine_chunks()
+            b = t.column("bucket").to_numpy()
+            cut = int(np.searchsorted(b, b[-1]))
+            if cut:
+                yield from settled(t.slice(0, cut)).to_batches()
+            held, rows = [t.slice(cut)], t.num_rows - cut
+    if rows:
+        yield from settled(pa.concat_tables(held).combine_chunks()).to_batches()
+
+
+def _cores(batches):
+    """Pieces of PIECE windows of the runs of large buckets: what all windows of a piece have in common, and its bytes."""
+    for batch in batches:
+        row, first, n, core, bytes_ = [], [], [], [], []
+        for r, (bucket, at, count, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "first", "n", "bytes")), strict=True)):
+            data = np.frombuffer(raw, dtype=np.uint8)
+            # the least bucket's position is the first of its kind; pieces are cut at fixed distances before it
+            pos = int(np.argmax(signed(buckets(data)) == bucket))
+            low, high = pos - count + 1, pos
+            block = np.arange(low // PIECE, high // PIECE + 1)
+            begin, end = pos - np.minimum(high, block * PIECE + PIECE - 1), pos - np.maximum(low, block * PIECE)
+            left = pos - block * PIECE
+            row += [r] * len(block)
+            first += (at + begin).tolist()
+            n += (end - begin + 1).tolist()
+            core.append(span_hash(prefix_hash(data), left, left - PIECE + 1 + LEN) ^ mix(block.astype(np.uint64)))
+            bytes_ += [raw[i : j + LEN] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+        at = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), batch.column("bucket").take(at), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(signed(np.concatenate(core)) if core else np.zeros(0, np.int64)), pa.array(bytes_, pa.binary())], names=["doc_id", "key", "bucket", "first", "n", "core", "bytes"])
+
+
+def _windows(batches):
+    """The windows of pieces, refined to identifiers of LEN bytes."""
+    for batch in batches:
+        n = batch.column("n").to_numpy()
+        if len(n):
+            row, offset, window = _refined(batch.column("bytes").to_pylist(), n)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), batch.column("bucket").take(at), pa.array(signed(window)), pa.array(batch.column("first").to_numpy()[row] + offset)], names=["doc_id", "key", "bucket", "window", "first"])
 
 
 def _cut(batches):
@@ -103,13 +182,15 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, kinds: int = KINDS) -> DataFrame:
     """docs: doc_id, text. One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Every window of LEN bytes belongs to the position of its least Q-byte bucket, one position for about SPAN / 2 windows. Buckets
     with one position are final. In the others, runs of windows whose bytes are all alike are repeats as a whole; what is left of
-    a shared bucket is refined window by window to LEN bytes. Buckets are content fingerprints in place of ranks, so refining
-    needs no global sort, and counts are made before shuffles, so a passage in any number of documents is no load for a task.
+    a shared bucket, one run of each kind with the bytes under it, is refined to LEN bytes: buckets of up to `kinds` kinds inside a
+    task, larger ones first in pieces of neighbouring windows, then window by window, dealt by identifier. Buckets are content
+    fingerprints in place of ranks, so refining needs no global sort, and counts are made before shuffles, so a passage in any
+    number of documents is no load for a task.
     Identifiers of a window are its bucket's and its own, 128 bits together.
 
     Null and empty texts, and those under LEN bytes, keep all; repeated rows are repeats of each other; no rows give no rows.
@@ -121,12 +202,18 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     shared = blocks.groupBy("bucket").agg(F.sum("c").alias("rows"), F.count("*").alias("kinds")).where("rows > 1")
     blocks = staged(blocks.join(shared, "bucket"), "blocks")
     same = anchors.join(blocks.where("c > 1").select("bucket", "whole", "n"), ["bucket", "whole", "n"], "left_semi").select("doc_id", "key", "first", "n")
-    open_ = blocks.where("kinds > 1").select("one.*", "bucket", "n", (F.col("c") > 1).alias("many"))
-    runs = open_.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n", "bucket", "many")).alias("runs"))
+    open_ = blocks.where("kinds > 1").select("one.*", "bucket", "n", "kinds")
+    runs = open_.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n", "bucket", "kinds")).alias("runs"))
     texts = keyed.alias("t").join(runs.alias("r"), F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.key") == F.col("r.key"))).select("t.doc_id", "t.key", "t.text", "r.runs")
-    windows = staged(texts.mapInArrow(_windows, "doc_id long, key long, bucket long, window long, first long"), "windows")
+    where = "doc_id long, key long, bucket long, first long, n long"
+    contexts = staged(texts.mapInArrow(_contexts, f"{where}, kinds long, bytes binary"), "contexts")
+    small = contexts.where(F.col("kinds") <= kinds).select("doc_id", "key", "bucket", "first", "n", "bytes").repartition("bucket").sortWithinPartitions("bucket")
+    few = small.mapInArrow(_settle, "doc_id long, key long, first long, n long")
+    pieces = staged(contexts.where(F.col("kinds") > kinds).mapInArrow(_cores, f"{where}, core long, bytes binary"), "pieces")
+    common = pieces.groupBy("bucket", "core").agg(F.count("*").alias("c")).where("c > 1").select("bucket", "core")
+    windows = staged(pieces.join(common, ["bucket", "core"], "left_semi").mapInArrow(_windows, "doc_id long, key long, bucket long, window long, first long"), "windows")
     often = windows.groupBy("bucket", "window").agg(F.count("*").alias("c")).where("c > 1").select("bucket", "window")
     single = windows.join(often, ["bucket", "window"], "left_semi").select("doc_id", "key", "first", F.lit(1).cast("long").alias("n"))
-    spans = staged(same.unionByName(single).groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n")).alias("spans")), "spans")
+    spans = staged(same.unionByName(few).unionByName(single).groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n")).alias("spans")), "spans")
     both = keyed.alias("t").join(spans.alias("s"), F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.key") == F.col("s.key")), "left").select("t.doc_id", "t.text", "s.spans")
     return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -31,6 +31,21 @@ def test_repeats(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [tuple(r)[1:] for r in sorted(drop_repeats(df).collect())]
     assert got == brute(texts)
+    assert [tuple(r)[1:] for r in sorted(drop_repeats(df, kinds=1).collect())] == got
     assert drop_repeats(df.limit(0)).count() == 0
     again = df.limit(8).unionByName(df.limit(8))
     assert sorted(r.n_removed for r in drop_repeats(again).collect())[-1] > 0
+
+
+def test_near_copies(spark):
+    rng = np.random.default_rng(5)
+    base = "".join(rng.choice(list("abcdefg h"), 1500))
+    texts = []
+    for _ in range(40):
+        chars = list(base)
+        for at in rng.integers(0, len(base), rng.integers(1, 6)):
+            chars[at] = "Z"
+        texts.append("".join(chars[rng.integers(0, 300) :]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for kinds in (1, 3, 1000):
+        assert [tuple(r)[1:] for r in sorted(drop_repeats(df, kinds=kinds).collect())] == brute(texts)
