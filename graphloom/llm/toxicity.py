@@ -104,11 +104,8 @@ def fit(rows: list[tuple[str, int]], lm: dict[str, float]) -> tuple[dict[str, fl
     seen = [Counter(), Counter()]
     n = [0, 0]
     memo: dict[str, str] = {}
-    sets = []
     for text, y in rows:
-        f = features(text, lm, memo)
-        sets.append(f)
-        seen[y].update(f)
+        seen[y].update(features(text, lm, memo))
         n[y] += 1
     if not n[0] or not n[1]:
         return {}, -9.0 if n[0] else 0.0
@@ -122,7 +119,9 @@ def fit(rows: list[tuple[str, int]], lm: dict[str, float]) -> tuple[dict[str, fl
 
     strong = sorted((f for f in odds if odds[f] > 1.5 and gain(f) > bar), key=lambda f: (-odds[f] * np.sqrt(seen[1][f]), f))[:FEATURES]
     weights = {f: odds[f] for f in strong}
-    x = np.array([_best(f, weights) for f in sets])
+    # texts are read again rather than all their features held: the driver's memory then follows the vocabulary, not the rows
+    only = {"weights": weights, "heads": {f[:4] for f in weights if f.endswith("~")}}
+    x = np.array([_best(features(text, lm, memo, only), weights) for text, _ in rows])
     y = np.array([r[1] for r in rows], dtype=float)
     a, b = 1.0, -4.0
     for _ in range(300):
