@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import small_batches
+from graphloom.llm._shared import small_batches, staged
 
 #: Labelled rows that the classifier is fitted on at most, in order of a hash of doc_id.
 FIT_ROWS = 20_000
 FEATURES = 4_000
+#: Counts that a task holds before it passes them on.
+HELD = 200_000
 #: What a character may stand for besides itself, with the channel's log probability of the disguise.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "l"}
 DISGUISE, REPEAT = -2.0, -1.0
@@ -25,8 +27,12 @@ _ODD = re.compile(r"[^\W\d_][0-9@$!+|]|[0-9@$!+|][^\W\d_]")
 
 
 def _count(batches):
-    """Character trigrams of a partition's words, case folded; one row per trigram."""
+    """Character trigrams of a partition's words, case folded; a trigram may have more than one row."""
     seen: Counter = Counter()
+
+    def counted():
+        return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
+
     for batch in batches:
         held: Counter = Counter()
         for text in batch.column(0).to_pylist():
@@ -35,7 +41,10 @@ def _count(batches):
             padded = f"^^{w}$"
             for i in range(len(padded) - 2):
                 seen[padded[i : i + 3]] += n
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
+        if len(seen) >= HELD:
+            yield counted()
+            seen.clear()
+    yield counted()
 
 
 def language_model(docs: DataFrame, most: int = 50_000) -> dict[str, float]:
@@ -99,30 +108,73 @@ def features(text: str, lm: dict[str, float], memo: dict[str, str], only: dict |
     return found
 
 
-def fit(rows: list[tuple[str, int]], lm: dict[str, float]) -> tuple[dict[str, float], float]:
-    """Log-odds weights of the features that mark a label most, with a logistic model over their sum."""
-    seen = [Counter(), Counter()]
-    n = [0, 0]
-    memo: dict[str, str] = {}
-    for text, y in rows:
-        seen[y].update(features(text, lm, memo))
-        n[y] += 1
-    if not n[0] or not n[1]:
-        return {}, -9.0 if n[0] else 0.0
-    odds = {f: float(np.log((seen[1][f] + 0.2) / (n[1] + 0.4)) - np.log((seen[0][f] + 0.2) / (n[0] + 0.4))) for f in seen[1] if seen[1][f] >= 3}
-    rate, bar = n[1] / (n[0] + n[1]), np.log(max(1, len(odds))) + 1
-
-    def gain(f: str) -> float:
-        """Log likelihood ratio of the feature's own rate of toxic documents against the rate of all; chance stays under the bar."""
-        c = seen[0][f] + seen[1][f]
-        return sum(k * np.log(k / (c * q)) for k, q in ((seen[1][f], rate), (seen[0][f], 1 - rate)) if k)
-
-    strong = sorted((f for f in odds if odds[f] > 1.5 and gain(f) > bar), key=lambda f: (-odds[f] * np.sqrt(seen[1][f]), f))[:FEATURES]
-    weights = {f: odds[f] for f in strong}
-    # texts are read again rather than all their features held: the driver's memory then follows the vocabulary, not the rows
-    only = {"weights": weights, "heads": {f[:4] for f in weights if f.endswith("~")}}
-    x = np.array([_best(features(text, lm, memo, only), weights) for text, _ in rows])
-    y = np.array([r[1] for r in rows], dtype=float)
+def _count_features(lm: dict[str, float]):
+    """For mapInArrow over (text, toxic): in how many rows of each label a feature is; the empty feature is in all."""
+
+    def run(batches):
+        memo: dict[str, str] = {}
+        seen = [Counter(), Counter()]
+
+        def counted():
+            keys = list(seen[0].keys() | seen[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[f] for f in keys], pa.int64()) for c in seen)], names=["feature", "clean", "toxic"])
+
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[y].update(features(text or "", lm, memo))
+                seen[y][""] += 1
+                if len(seen[0]) + len(seen[1]) >= HELD:
+                    yield counted()
+                    seen[0].clear(), seen[1].clear()
+        yield counted()
+
+    return run
+
+
+def strongest(counts: DataFrame) -> dict[str, float]:
+    """Log-odds of the features that mark the toxic label most, FEATURES of them at most, out of (feature, clean, toxic)."""
+    total = counts.where("feature = ''").first()
+    if total is None or not total.clean or not total.toxic:
+        return {}
+    n0, n1 = total.clean, total.toxic
+    odds = F.log((F.col("toxic") + 0.2) / (n1 + 0.4)) - F.log((F.col("clean") + 0.2) / (n0 + 0.4))
+    rate, both = n1 / (n0 + n1), F.col("toxic") + F.col("clean")
+
+    def term(k, q):
+        return F.when(k > 0, k * F.log(k / (both * q))).otherwise(0.0)
+
+    # log likelihood ratio of the feature's own rate of toxic documents against the rate of all; chance stays under the bar
+    gain = term(F.col("toxic"), rate) + term(F.col("clean"), 1 - rate)
+    often = counts.where("feature <> '' AND toxic >= 3").withColumn("odds", odds).withColumn("gain", gain)
+    bar = float(np.log(max(1, often.count())) + 1)
+    best = often.where((F.col("odds") > 1.5) & (F.col("gain") > bar)).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "feature")
+    return {r.feature: r.odds for r in best.limit(FEATURES).collect()}
+
+
+def _summed(lm: dict[str, float], weights: dict[str, float]):
+    """For mapInArrow over (text, any): the sum that the logistic model takes, beside the second column."""
+
+    def run(batches):
+        memo: dict[str, str] = {}
+        only = {"weights": weights, "heads": {f[:4] for f in weights if f.endswith("~")}}
+        for batch in batches:
+            x = [_best(features(t or "", lm, memo, only), weights) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.float64())], names=["y", "x"])
+
+    return run
+
+
+def fit(known: DataFrame, lm: dict[str, float]) -> tuple[dict[str, float], float]:
+    """Weights and bias from known: (text, toxic). Features are counted, chosen and summed up where the rows are; the driver holds
+    FEATURES weights and two numbers a row."""
+    counts = known.mapInArrow(_count_features(lm), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = staged(counts.where("toxic >= 3 OR feature = ''"), "features")
+    weights = strongest(counts)
+    if not weights:
+        total = counts.where("feature = ''").first()
+        return {}, 0.0 if total is None else float(np.log((total.toxic + 0.2) / (total.clean + 0.2)))
+    rows = known.mapInArrow(_summed(lm, weights), "y int, x double").toPandas().sort_values(["x", "y"])
+    x, y = rows["x"].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float)
     a, b = 1.0, -4.0
     for _ in range(300):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -152,19 +204,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, h
     small_batches(docs.sparkSession)
     lm = language_model(docs)
     out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == held_out
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~out).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    rows = docs.join(F.broadcast(known), "doc_id").select("text", "toxic").collect()
-    weights, bias = fit([(r.text or "", int(r.toxic)) for r in rows], lm)
-
-    def run(batches):
-        memo: dict[str, str] = {}
-        only = {"weights": weights, "heads": {f[:4] for f in weights if f.endswith("~")}}
-        for batch in batches:
-            x = np.array([_best(features(t or "", lm, memo, only), weights) + bias for t in batch.column(1).to_pylist()], dtype=float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))), pa.float64())], names=["doc_id", "score"])
-
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    rows = docs.join(F.broadcast(known), "doc_id").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    weights, bias = fit(rows, lm)
+    scored = docs.select("text", "doc_id").mapInArrow(_summed(lm, weights), "y long, x double")
+    scored = scored.select(F.col("y").alias("doc_id"), (1 / (1 + F.exp(-(F.col("x") + bias)))).alias("score"))
     return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
