@@ -23,7 +23,7 @@ _RUN = bytes(48 + (65 <= b <= 90 or 97 <= b <= 122 or 48 <= b <= 57 or b in b"+/
 _HEXRUN = bytes(48 + (48 <= b <= 57 or 97 <= b <= 102) for b in range(256))
 KINDS = ("assign", "access", "hex", "owned")
 
-SCANNED = "doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, base array<struct<s:int,k:int,e:int>>, found array<struct<s:int,e:int,base:boolean,h:binary>>"
+SCANNED = "doc_id long, owner string, repository string, sha string, n_assign long, n_access long, n_hex long, base array<struct<s:int,k:int,e:int>>, found array<struct<s:int,e:int,base:boolean,h:binary>>"
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, bool, bytes]]]:
@@ -60,67 +60,82 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, bo
 def _scan_batches(batches):
     for batch in batches:
         rows = []
-        for doc, owner, repo, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc, owner, repo, sha, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             spans, values = scan(text or "")
             n = Counter(k for _, k, _ in spans)
-            rows.append((doc, owner, repo, n[0], n[1], n[2], [{"s": s, "k": k, "e": e} for s, k, e in spans], [{"s": s, "e": e, "base": b, "h": h} for s, e, b, h in values]))
+            rows.append((doc, owner, repo, sha, n[0], n[1], n[2], [{"s": s, "k": k, "e": e} for s, k, e in spans], [{"s": s, "e": e, "base": b, "h": h} for s, e, b, h in values]))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=["doc_id", "owner", "repository", "n_assign", "n_access", "n_hex", "base", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=["doc_id", "owner", "repository", "sha", "n_assign", "n_access", "n_hex", "base", "found"])
 
 
-_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())])), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("base", pa.bool_()), ("h", pa.binary())]))]
+_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())])), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("base", pa.bool_()), ("h", pa.binary())]))]
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "source", copied: int = 2) -> DataFrame:
-    """docs: doc_id, text and the columns of owner and repository. One row per row of docs.
-
-    n_assign, n_access, n_hex and base_sha256 tell of the base spans; spans has those and the added ones of kind `owned`:
-    key-like strings that the base patterns miss and that, over the whole corpus, fewer than `copied` owners hold. n_live: the
-    candidate values of the row that only one owner holds; n_copied: those that `copied` or more hold, published examples for
-    the most part. Counts by owner are made before the shuffle, so one value in any share of all rows is no load for a task.
-    Offsets are code points, end exclusive. Null and empty texts have no spans; null is an owner like others; repeated rows
-    each have their row; no rows give no rows.
-    """
+def _judged(docs: DataFrame, owner: str, repository: str, copied: int, forks: int) -> DataFrame:
+    """A row per row of docs: doc_id, sha (of the text), the counts, base and all spans as arrays, n_live and n_copied."""
     small_batches(docs.sparkSession)
-    found = docs.select("doc_id", F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), "text").mapInArrow(_scan_batches, SCANNED)
+    found = docs.select("doc_id", F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), F.sha2("text", 256).alias("sha"), "text").mapInArrow(_scan_batches, SCANNED)
     found = staged(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = found.where(F.size("found") > 0).select("row", "owner", "repository", F.inline("found"))
-    holders = each.groupBy("h", F.coalesce("owner", F.lit("\0")).alias("o")).agg(F.count_distinct(F.coalesce("repository", F.lit("\0"))).alias("r")).groupBy("h").agg(F.count("o").alias("owners"), F.sum("r").alias("repositories"))
+    pairs = each.groupBy("h", F.coalesce("owner", F.lit("\0")).alias("o"), F.coalesce("repository", F.lit("\0")).alias("r")).agg(F.lit(1).alias("one"))
+    holders = pairs.groupBy("h").agg(F.count_distinct("o").alias("owners"), F.count("r").alias("repositories"))
+    public = (F.col("owners") >= copied) & (F.col("repositories") >= forks)
     judged = each.join(holders, "h").groupBy("row").agg(
-        F.sum((F.col("owners") < copied).cast("long")).alias("n_live"),
-        F.sum((F.col("owners") >= copied).cast("long")).alias("n_copied"),
-        F.collect_list(F.when(~F.col("base") & (F.col("owners") < copied), F.struct("s", F.lit(3).alias("k"), "e"))).alias("more"),
+        F.sum((~public).cast("long")).alias("n_live"),
+        F.sum(public.cast("long")).alias("n_copied"),
+        F.collect_list(F.when(~F.col("base") & ~public, F.struct("s", F.lit(3).alias("k"), "e"))).alias("more"),
     )
+    out = found.join(judged, "row", "left").withColumn("more", F.coalesce("more", F.expr("array()").cast("array<struct<s:int,k:int,e:int>>")))
+    return out.withColumn("every", F.array_sort(F.concat("base", "more")))
+
+
+def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "source", copied: int = 2, forks: int = 5) -> DataFrame:
+    """docs: doc_id, text and the columns of owner and repository. One row per row of docs.
+
+    n_assign, n_access, n_hex and base_sha256 tell of the base spans; spans has those and the added ones of kind `owned`:
+    key-like strings that the base patterns miss and that aren't widely copied. Widely copied, published examples for the most
+    part, are values that over the whole corpus at least `copied` owners hold, in at least `forks` repositories together; a live
+    key of which one copy stands elsewhere stays live. n_live and n_copied count the candidate values of the row by that rule.
+    Counts are made before the shuffle, so one value in any share of all rows is no load for a task. Offsets are code points,
+    end exclusive. Null and empty texts have no spans; null is an owner like others; repeated rows each have their row; no rows
+    give no rows.
+    """
     kinds = F.array(*map(F.lit, KINDS))
     written = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", kinds[x["k"]], x["s"], x["e"])), ",")
-    out = found.join(judged, "row", "left").withColumn("more", F.coalesce("more", F.expr("array()").cast("array<struct<s:int,k:int,e:int>>")))
-    return out.select(
+    return _judged(docs, owner, repository, copied, forks).select(
         "doc_id", "n_assign", "n_access", "n_hex",
         F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        written(F.array_sort(F.concat("base", "more"))).alias("spans"),
+        written(F.col("every")).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
     )
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every base secret in text replaced by mark and n_chars renewed; texts without secrets stay as they are."""
+def redact(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source", repository: str = "source", copied: int = 2, forks: int = 5) -> DataFrame:
+    """docs with every span of scan_secrets in text, base and owned, replaced by mark and n_chars renewed; texts without spans
+    stay as they are. Spans follow from the text and the corpus, so rows meet theirs by the text's SHA-256, whatever their doc_id."""
     columns = docs.columns
+    spans = _judged(docs, owner, repository, copied, forks).where(F.size("every") > 0).select(F.col("sha").alias("_sha"), F.col("every").alias("_spans")).dropDuplicates(["_sha"])
+    marked = docs.withColumn("_sha", F.sha2("text", 256)).join(spans, "_sha", "left").select(*columns, "_spans")
 
     def clean(batches):
         for batch in batches:
             texts = batch.column(columns.index("text")).to_pylist()
             out = []
-            for t in texts:
-                spans, _ = scan(t or "")
+            for t, found in zip(texts, batch.column(len(columns)).to_pylist(), strict=True):
                 done, at = [], 0
-                for s, _, e in spans:
-                    if s >= at:
-                        done += [t[at:s], mark]
-                    at = max(at, e)
-                out.append("".join([*done, t[at:]]) if spans else t)
-            yield batch.set_column(columns.index("text"), "text", pa.array(out, batch.schema.field("text").type))
+                for x in found or ():
+                    if x["s"] >= at:
+                        done += [t[at : x["s"]], mark]
+                    at = max(at, x["e"])
+                out.append("".join([*done, t[at:]]) if found else t)
+            held = batch.column(len(columns))
+            batch = batch.select(columns)
+            batch = batch.set_column(columns.index("text"), "text", pa.array(out, batch.schema.field("text").type))
+            if "n_chars" in columns:
+                n = [len(t) if x.is_valid else old for t, x, old in zip(out, held, batch.column(columns.index("n_chars")).to_pylist(), strict=True)]
+                batch = batch.set_column(columns.index("n_chars"), "n_chars", pa.array(n, batch.schema.field("n_chars").type))
+            yield batch
 
     small_batches(docs.sparkSession)
-    out = docs.mapInArrow(clean, docs.schema)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns) if "n_chars" in columns else out
+    return marked.mapInArrow(clean, docs.schema)
