@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontam, mixing, neardup, secrets, toxicity
-from graphloom.llm._shared import drop_staged, shared_dir
+from graphloom.llm._shared import drop_staged, shared_dir, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,9 +16,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first row of each group of near-duplicates at a similarity of 0.8. Rows are told apart by a key of their own, so
+    repeated rows and null or repeated doc_ids are rows like others; rows without words are all kept."""
     drop_staged(spark, docs)
-    gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    keyed = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    rows = neardup.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), percent=80, low=0.65)
+    gone = rows.where("NOT kept").select(F.col("doc_id").alias("_row"))
+    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from graphloom.llm._shared import mix, partitions, shingle_hashes, signed, small_batches, staged, steps
 
 BUCKETS, MANTISSA, BAND = 128, 10, 4
-#: Sets up to this size can be linked at 0.85 only to equal sets: 5/6 < 0.85.
-ALONE = 5
 #: Members of one star that are verified against one copy of its centre.
 STAR = 256
 #: Members of a cluster's block; two blocks make a tile.
@@ -21,6 +19,11 @@ _PROBE = np.stack([np.random.default_rng(j).permutation(BUCKETS) for j in range(
 SIGNED = "doc_id long, set1 long, set2 long, n long, sig binary"
 
 
+def alone(percent: int) -> int:
+    """Sets up to this size can be linked only to equal sets: n / (n + 1) stays under the threshold; 5 at 85, 3 at 80."""
+    return -(-percent // (100 - percent)) - 1 if percent < 100 else 1 << 62
+
+
 def registers(x: np.ndarray) -> np.ndarray:
     """x: sorted distinct shingle hashes. A register per bucket: leading zeros and leading mantissa bits of its least hash.
 
@@ -181,7 +184,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, low: float =
     signs = staged(docs.select("doc_id", "text").mapInArrow(_sign(k), SIGNED), "signs")
     groups = signs.where("n > 0 AND doc_id IS NOT NULL").groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("rep"))
     groups = staged(groups, "sets")
-    reps = staged(signs.where(f"n > {ALONE}").join(groups.withColumnRenamed("rep", "doc_id"), ["set1", "set2", "n", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sig").dropDuplicates(["rep"]), "reps")
+    reps = staged(signs.where(f"n > {alone(percent)}").join(groups.withColumnRenamed("rep", "doc_id"), ["set1", "set2", "n", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sig").dropDuplicates(["rep"]), "reps")
     width = 2 * BAND
     bands = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // BAND - 1)), lambda j: F.xxhash64(j, F.substring("sig", j * width + 1, F.lit(width))))).alias("band"))
     full = bands.groupBy("band").agg(F.min("rep").alias("lead"), F.count("rep").alias("members")).where("members > 1")

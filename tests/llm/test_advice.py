@@ -1,6 +1,6 @@
 import corpus_pipeline
 
-from graphloom.llm import secrets
+from graphloom.llm import neardup, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -20,3 +20,14 @@ def test_owned_secrets_leave(spark):
     assert got == sorted([*want, *[(10 + i, f"see {example}", len(example) + 4) for i in range(5)]], key=lambda x: x[:2])
     report = {r.doc_id: r.spans for r in secrets.scan_secrets(docs.where("doc_id = 1 OR source = 'b'")).collect()}
     assert report[1] == f"owned:6:{6 + len(key)}"
+
+
+def test_one_row_of_each_group(spark):
+    a, b = "one two three four five six seven", "other words stand here for all to see and read"
+    near = "k1 k2 k3 k4 k5 k6 k7 k8"
+    texts = [(1, a, "a"), (1, a, "a"), (None, a, "a"), (2, b, "a"), (2, a, "a"), (3, b, "a"), (4, near, "a"), (5, near + " k9", "a"), (None, None, "a"), (None, "", "a")]
+    out = corpus_pipeline.keep_one_of_each(spark, rows(spark, *texts), "").collect()
+    assert sorted(r.text or "" for r in out) == sorted(["", "", a, b, near])
+    for percent in range(50, 101):
+        n = next((n for n in range(1, 300) if 100 * n >= percent * (n + 1)), 300)
+        assert min(neardup.alone(percent), 299) == n - 1
