@@ -2,38 +2,61 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import small_batches
+from graphloom.llm._shared import small_batches, staged
 
-#: Hosts up to which their templates (one short row each) are sent to every executor; more are joined by shuffle.
-BROADCAST_HOSTS = 200_000
+#: Hosts up to which their templates (one row each) are sent to every executor; more are joined by shuffle.
+BROADCAST_HOSTS = 20_000
+#: Distinct pages of a host that have to share what counts as its template.
+TEMPLATE_PAGES = 3
+#: Elements that can be a slot; others are parts of a text.
+SLOTS = set("html body main article div section center td".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style textarea title noscript template iframe".split())
 DROP = set("head nav aside form select button svg footer dialog menu".split())
 BLOCK = set("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Class, id and role pieces that tell of boilerplate on the containers of MARKABLE; texts, lists' items, headings and the page's own frame never match.
+MARKABLE = set("div section ul ol dl table tbody tr td aside details fieldset figure center address".split())
 WORDS = set("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus share social related newsletter subscribe login popup modal widget".split())
 
 
-def segments(page: str) -> list[tuple[tuple[str, ...], bool, bool, str]]:
-    """Text blocks of a page in order: (path of containers, in boilerplate, in an article, text)."""
-    out: list = []
-    stack: list[tuple[str, str, bool, bool]] = []
+class _Container:
+    def __init__(self, name: str, marks: set[str], above):
+        self.name, self.above = name, above
+        self.step = name + "".join(f".{w}" for w in sorted(marks))
+        self.path = (*above.path, self.step) if above else (self.step,)
+        self.article = name == "article" or bool(above and above.article)
+        self.marked = name in MARKABLE and (bool(marks & WORDS) or "header" in marks and not self.article)
+        self.dropped = name in DROP or name == "header" and not self.article
+        self.size, self.keeps = 0, False
+
+
+def segments(page: str) -> list[tuple[tuple[str, ...], bool, bool, str, tuple[str, ...]]]:
+    """Text blocks of a page in order: (path of containers, in a boilerplate element, in an article, text, paths of the marked
+    containers it is in). What holds the main element or the page's longest article is never marked, nor is a form round it dropped."""
+    blocks: list[tuple[_Container | None, str]] = []
+    keepers: list[_Container] = []
+    stack: list[_Container] = []
     held: list[str] = []
     at = 0
 
     def flush():
         text = " ".join(html.unescape("".join(held)).split())
         if text:
-            out.append((tuple(x[1] for x in stack), bool(stack) and stack[-1][2], bool(stack) and stack[-1][3], text))
+            blocks.append((stack[-1] if stack else None, text))
+            for x in stack:
+                x.size += len(text)
         held.clear()
 
     while True:
@@ -49,8 +72,8 @@ def segments(page: str) -> list[tuple[tuple[str, ...], bool, bool, str]]:
         if name in BLOCK:
             flush()
         if m[1]:
-            if any(x[0] == name for x in stack):
-                while stack and stack.pop()[0] != name:
+            if any(x.name == name for x in stack):
+                while stack and stack.pop().name != name:
                     pass
             continue
         if name in RAW:
@@ -61,14 +84,30 @@ def segments(page: str) -> list[tuple[tuple[str, ...], bool, bool, str]]:
             held.append(" ")
         if name in VOID or name not in BLOCK and name not in DROP or m[3].endswith("/"):
             continue
-        if name == "p" and stack and stack[-1][0] == "p":
+        if name == "p" and stack and stack[-1].name == "p":
             stack.pop()
         marks = {w for _, *v in _ATTR.findall(m[3]) for w in re.split(r"[^a-z0-9]+", "".join(v).lower()) if w}
-        bad, inside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-        bad = bad or name in DROP or bool(marks & WORDS) or (name == "header" or "header" in marks) and not inside
-        inside = inside or name == "article" and not bad
-        stack.append((name, name + "".join(f".{w}" for w in sorted(marks)), bad, inside))
+        stack.append(_Container(name, marks, stack[-1] if stack else None))
+        if name in ("article", "main"):
+            keepers.append(stack[-1])
     flush()
+    longest = max((x for x in keepers if x.name == "article"), key=lambda x: x.size, default=None)
+    for x in keepers:
+        while x and (x.name == "main" or x is longest or x.keeps):
+            x.marked = False
+            x.dropped = x.dropped and x.name not in ("form", "header")
+            x = x.above
+            if x:
+                x.keeps = True
+    out = []
+    for x, text in blocks:
+        path, inside = (x.path, x.article) if x else ((), False)
+        dropped, marked = False, []
+        while x:
+            dropped = dropped or x.dropped
+            marked += [x.path] if x.marked else []
+            x = x.above
+        out.append((path, dropped, inside, text, tuple(">".join(p) for p in marked)))
     return out
 
 
@@ -76,64 +115,83 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
+def _token(path: tuple[str, ...], text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{'>'.join(path)}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _tokens(batches):
-    """Path tokens of each page with how often they occur and the text they hold."""
+    """Tokens of each page with the characters they hold: A for the page itself, P for containers, M for marked ones, T for texts."""
     for batch in batches:
         out: list[tuple] = []
         for host, page_no, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            seen: dict[str, list[int]] = {}
-            blocks = segments(page or "")
-            if any(inside for _, _, inside, _ in blocks):
-                seen["<article>"] = [1, 0]
-            for path, bad, _, text in blocks:
-                if not bad:
+            seen: Counter = Counter({("A", "", 0): 0})
+            for path, dropped, _, text, marked in segments(page or ""):
+                if not dropped:
+                    seen["A", "", 0] += len(text)
+                    seen["T", ">".join(path), _token(path, text)] += len(text)
                     for n in range(1, len(path) + 1):
-                        x = seen.setdefault(">".join(path[:n]), [0, 0])
-                        x[0] += 1
-                        x[1] += len(text)
-            out += [(host, token, (page_no * 0x9E3779B97F4A7C15 + n * 0xD1342543DE82EF95) % (1 << 63) % 1_000_000_007, size) for token, (n, size) in seen.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "token", "vector", "size"])
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, main): the container of the host's text slot. Tokens are paths of containers. Those with one occurrence vector over
-    a host's pages form an equivalence class; vectors are sums of page fingerprints, made before the shuffle, so a host with any
-    share of all pages is no load for a task. A class on half of the pages is valid; valid classes nest by path, and the deepest
-    container that holds nine tenths of the text in them is the slot that pages fill."""
-    lean = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page_no"), "html")
-    seen = lean.mapInArrow(_tokens, "host string, token string, vector long, size long").groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.count("*").alias("pages"), F.sum("size").alias("size"))
-    classes = seen.groupBy("host", "vector", "pages").agg(F.count("*").alias("members"), F.max("size").alias("size"), F.max(F.struct(F.col("size"), F.length("token").alias("depth"), "token")).alias("deep"))
-    most = classes.groupBy("host").agg(F.max("pages").alias("all_pages"), F.max("size").alias("all_text"))
-    valid = classes.join(most, "host").where("pages * 2 >= all_pages AND size * 10 >= all_text * 9 AND deep.token <> '<article>'")
-    return valid.groupBy("host").agg(F.max(F.struct("deep.depth", "deep.token")).alias("x")).select("host", F.col("x.token").alias("main"))
-
-
-def main_text(page: str, main: str | None) -> str:
-    blocks = [b for b in segments(page) if not b[1]]
+                        seen["P", ">".join(path[:n]), 0] += len(text)
+                    for m in marked:
+                        seen["M", m, 0] += len(text)
+            out += [(host, page_no, *token, size) for token, size in seen.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "page", "kind", "token", "text", "size"])
+
+
+def templates(pages: DataFrame, small=lambda df: df) -> DataFrame:
+    """(host, main, noise, fixed): the container of the host's text slot, its marked containers that are boilerplate, and the texts
+    of its template. Tokens are containers and texts at their place; pages of one content count once. Tokens of one support form a
+    class, valid on half of the host's pages and on TEMPLATE_PAGES at least. Texts of valid classes are template. A marked container
+    is noise if it recurs (on a tenth of the pages, two at least if the host has more than one) and holds less than half of the
+    text. The slot is the deepest container of a valid class that holds nine tenths of the text that is neither.
+    Sums are made before the shuffle, so a host with any share of all pages is no load for a task. small: marks tables of a row a host."""
+    lean = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
+    seen = lean.mapInArrow(_tokens, "host string, page long, kind string, token string, text long, size long")
+    seen = seen.groupBy("host", "kind", "token", "text", "page").agg(F.max("size").alias("size"))
+    seen = staged(seen.groupBy("host", "kind", "token", "text").agg(F.count("*").alias("pages"), F.sum("size").alias("size")), "page-tokens")
+    whole = small(seen.where("kind = 'A'").select("host", F.col("pages").alias("all_pages"), F.col("size").alias("all_text")))
+    seen = seen.join(whole, "host").withColumn("valid", F.expr(f"pages * 2 >= all_pages AND pages >= {TEMPLATE_PAGES}"))
+    noise = seen.where("kind = 'M' AND pages * 10 >= all_pages AND (pages >= 2 OR all_pages = 1) AND size * 2 < all_text").groupBy("host").agg(F.collect_list("token").alias("noise"))
+    fixed = seen.where("kind = 'T' AND valid").groupBy("host").agg(F.collect_list("text").alias("fixed"))
+    told = staged(whole.select("host").join(noise, "host", "left").join(fixed, "host", "left"), "page-templates")
+    own = seen.where("kind = 'T' AND NOT valid").groupBy("host", "token").agg(F.sum("size").alias("size")).join(small(told), "host")
+    own = own.where("noise IS NULL OR NOT exists(noise, x -> token = x OR startswith(token, x || '>'))").withColumn("steps", F.split("token", ">"))
+    total = small(own.groupBy("host").agg(F.sum("size").alias("total")))
+    held = own.select("host", "size", F.explode(F.expr("transform(sequence(1, size(steps)), n -> array_join(slice(steps, 1, n), '>'))")).alias("token"))
+    held = held.groupBy("host", "token").agg(F.sum("size").alias("own")).join(total, "host").where("own * 10 >= total * 9")
+    slots = seen.where("kind = 'P' AND valid").select("host", "token").join(held, ["host", "token"])
+    slots = slots.where(F.regexp_extract("token", "([a-z0-9]+)[^>]*$", 1).isin(*sorted(SLOTS)))
+    main = slots.groupBy("host").agg(F.max(F.struct(F.size(F.split("token", ">")).alias("depth"), "token")).alias("x")).select("host", F.col("x.token").alias("main"))
+    return told.join(main, "host", "left").select("host", "main", "noise", "fixed")
+
+
+def main_text(page: str, main: str | None, noise=None, fixed=None) -> str:
+    blocks = [b for b in segments(page) if not b[1] and not (noise and noise.intersection(b[4]))]
     if any(b[2] for b in blocks):
         blocks = [b for b in blocks if b[2]]
     elif main:
-        inside = [b for b in blocks if ">".join(b[0]).startswith(main)]
+        inside = [b for b in blocks if f"{'>'.join(b[0])}>".startswith(f"{main}>")]
         blocks = inside or blocks
     return "\n\n".join(b[3] for b in blocks)
 
 
 def _extract(batches):
     for batch in batches:
-        texts = [main_text(page or "", main) for page, main in zip(batch.column("html").to_pylist(), batch.column("main").to_pylist(), strict=True)]
+        hosts = zip(*(batch.column(c).to_pylist() for c in ("html", "main", "noise", "fixed")), strict=True)
+        texts = [main_text(page or "", main, set(noise or ()), set(fixed or ())) for page, main, noise, fixed in hosts]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], dtype=np.int64))], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """pages: page_id, url, html. One row per row: page_id, url, text, n_chars.
 
-    A page with an article gives the article; others the slot of their host's template. Containers of menus, headers, footers,
-    sidebars, notices, adverts, forms and comments are left out wherever they stand. Null or empty html gives an empty text; a
-    null url is a host like others; repeated rows each have their row; no rows give no rows.
+    A page gives its host's slot less the texts of the host's template; where that isn't known, its article, else all. Menus,
+    headers, footers, forms and the like are left out by their element; containers whose class, id or role tells of sidebars,
+    notices, adverts or comments where the host's pages confirm it. Null or empty html gives an empty text; a null url is a host
+    like others; repeated rows each have their row; no rows give no rows.
     """
     small_batches(pages.sparkSession)
-    known = templates(pages)
     hosts = pages.select(F.approx_count_distinct(host_of(F.col("url")))).first()[0]
-    known = F.broadcast(known) if hosts <= BROADCAST_HOSTS else known
-    joined = pages.withColumn("host", host_of(F.col("url"))).join(known, "host", "left").select("page_id", "url", "html", "main")
+    small = F.broadcast if hosts <= BROADCAST_HOSTS else lambda df: df
+    known = small(templates(pages, small))
+    joined = pages.withColumn("host", host_of(F.col("url"))).join(known, "host", "left").select("page_id", "url", "html", "main", "noise", "fixed")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

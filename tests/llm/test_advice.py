@@ -1,6 +1,6 @@
 import corpus_pipeline
 
-from graphloom.llm import neardup, secrets
+from graphloom.llm import neardup, pages, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -31,3 +31,15 @@ def test_one_row_of_each_group(spark):
     for percent in range(50, 101):
         n = next((n for n in range(1, 300) if 100 * n >= percent * (n + 1)), 300)
         assert min(neardup.alone(percent), 299) == n - 1
+
+
+def texts(spark, *htmls):
+    df = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [r.text for r in pages.extract_text(df).orderBy("page_id").collect()]
+
+
+def test_marked_frames_keep_the_text(spark):
+    frame = "<html class='cookie'><body class='page with-sidebar'><form><div class='elementor-widget-container'><article><h2 id='social-history'>Head {0}</h2><p class='notice'>Body {0}</p>{1}</article></div></form><div class='sidebar'>side {0}</div></body></html>"
+    once = "<div class='alert'>Only here {0}</div>"
+    got = texts(spark, *[frame.format(w, once.format(w) if w == "b" else "") for w in "abcd"])
+    assert got == ["Head a\n\nBody a", "Head b\n\nBody b\n\nOnly here b", "Head c\n\nBody c", "Head d\n\nBody d"]
