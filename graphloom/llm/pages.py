@@ -166,11 +166,14 @@ def templates(pages: DataFrame, small=lambda df: df) -> DataFrame:
 
 def main_text(page: str, main: str | None, noise=None, fixed=None) -> str:
     blocks = [b for b in segments(page) if not b[1] and not (noise and noise.intersection(b[4]))]
-    if any(b[2] for b in blocks):
-        blocks = [b for b in blocks if b[2]]
-    elif main:
-        inside = [b for b in blocks if f"{'>'.join(b[0])}>".startswith(f"{main}>")]
-        blocks = inside or blocks
+    slot = [b for b in blocks if f"{'>'.join(b[0])}>".startswith(f"{main}>")] if main else []
+    article = [b for b in blocks if b[2]]
+    # tags as a check: a slot that lies in articles is widened to them, and they serve pages that don't have the slot
+    blocks = article if article and (not slot or all(b[2] for b in slot)) else slot or blocks
+    if fixed:
+        own = [b for b in blocks if _token(b[0], b[3]) not in fixed]
+        # a page that is nearly all template is a copy of others, not their frame
+        blocks = own if 2 * sum(len(b[3]) for b in own) >= sum(len(b[3]) for b in blocks) else blocks
     return "\n\n".join(b[3] for b in blocks)
 
 
