@@ -37,8 +37,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of the mix; what lies beyond the budget, and texts without words, aren't in it."""
     drop_staged(spark, docs)
-    return mixing.mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(docs).where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 STAGES = [
@@ -48,7 +49,7 @@ STAGES = [
     ("secrets", redact_secrets),
     ("mixing", mix),
 ]
-#: No SQL expresses a trained score or tiling; the tests hold the stages against brute force.
+#: No SQL expresses a trained score or tiling. Near-duplicates have a brute-force test; toxicity and tiling over the table have none.
 ORACLE_SQL = None
 
 

@@ -1,6 +1,7 @@
 import corpus_pipeline
+import numpy as np
 
-from graphloom.llm import neardup, pages, secrets
+from graphloom.llm import ann, mixing, neardup, pages, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -52,3 +53,28 @@ def test_template_decides_the_slots(spark):
     teaser = "<body><article>Top story</article><div class='x'><div class='title'>T {0}</div><p>{0} is long enough, and more of it stands here</p></div><p>All rights</p></body>"
     assert texts(spark, *[teaser.format(w) for w in words]) == [f"T {w}\n\n{w} is long enough, and more of it stands here" for w in words]
     assert texts(spark, framed.format("x")) == ["T x\n\nx is long enough\n\nRead more on our site"]
+
+
+def test_mix_ends_at_the_budget(spark):
+    docs = rows(spark, *[(i, "w " * (i % 7), "ab"[i % 2 if i < 40 else 0]) for i in range(200)])
+    every = mixing.mix_sources(docs, most=2).collect()
+    out = corpus_pipeline.mix(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.taken) for r in out) == sorted((r.doc_id, r.taken) for r in every if r.taken)
+    assert 0 < len(out) < len(every)
+
+
+def test_recall_over_many_leaves(spark):
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(40, 1, 16)) + 0.3 * rng.normal(size=(40, 200, 16))).reshape(-1, 16).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 80 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for i in range(0, len(x), 80):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & got[i])
+        total += 20
+    print("recall", hits / total)
+    assert hits >= 0.9 * total
