@@ -17,8 +17,10 @@ Q = 50
 SPAN = LEN - Q + 1
 #: Rows that one step of refining takes together, and the kinds of runs up to which a bucket is refined inside one task.
 STEP_ROWS, KINDS = 2_000, 1_000
-#: Windows of larger buckets are first compared by the bytes that PIECE neighbours have in common.
-PIECE = 38
+#: Windows that a piece of a larger bucket's run holds at most, round by round; in the last a piece is one window.
+WIDTHS = (32, 8, 2, 1)
+#: Windows of a document that are looked at together; the limit of a position's 28 bits is far above it.
+STRETCH = 1 << 22
 
 
 def buckets(data: np.ndarray) -> np.ndarray:
@@ -28,12 +30,14 @@ def buckets(data: np.ndarray) -> np.ndarray:
     return span_hash(prefix, start, start + Q)
 
 
-def refine(ids: np.ndarray) -> np.ndarray:
-    """Bucket identifiers for LEN bytes from those for Q: pairs of identifiers, LEN apart in the end, each level reusing the last."""
-    size = Q
-    while size < LEN:
-        ids = mix(ids[:-size] * np.uint64(0x9E3779B97F4A7C15) + mix(ids[size:]))
-        size *= 2
+def refine(data: np.ndarray, size: int = LEN) -> np.ndarray:
+    """Bucket identifiers of every position for `size` bytes. Each level pairs the identifier of a position with that of a later
+    offset, both from the level before; the last offset is such that the two strings end where `size` does."""
+    ids, have = buckets(data), Q
+    while have < size:
+        step = min(have, size - have)
+        ids = mix(ids[:-step] * np.uint64(0x9E3779B97F4A7C15) + mix(ids[step:]))
+        have += step
     return ids
 
 
@@ -60,20 +64,22 @@ def _texts(column):
 
 
 def _anchors(batches):
-    """One row per run of windows: its bucket, the fingerprint of all its bytes, and where it stands."""
+    """One row per run of windows: its bucket, the fingerprint of all its bytes, where it stands, and where in it the bucket's string does."""
     for batch in batches:
         cols = [[] for _ in range(6)]
         ids, hashes = batch.column("doc_id"), batch.column("key")
         for r, data in enumerate(_texts(batch.column("text"))):
             if len(data) < LEN:
                 continue
-            b = buckets(data)
-            pos, first, n = owners(b)
-            whole = span_hash(prefix_hash(data), first, first + n - 1 + LEN)
-            for c, v in zip(cols, ([r] * len(pos), signed(b[pos]), signed(whole ^ mix((pos - first).astype(np.uint64))), first, n), strict=False):
-                c.append(np.asarray(v, dtype=np.int64))
+            for begin in range(0, len(data) - LEN + 1, STRETCH):
+                part = data[begin : begin + STRETCH + LEN - 1]
+                b = buckets(part)
+                pos, first, n = owners(b)
+                whole = span_hash(prefix_hash(part), first, first + n - 1 + LEN)
+                for c, v in zip(cols, ([r] * len(pos), signed(b[pos]), signed(whole ^ mix((pos - first).astype(np.uint64))), begin + first, n, pos - first), strict=True):
+                    c.append(np.asarray(v, dtype=np.int64))
         row = np.concatenate(cols[0]) if cols[0] else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), hashes.take(pa.array(row))] + [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in cols[1:5]], names=["doc_id", "key", "bucket", "whole", "first", "n"])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), hashes.take(pa.array(row))] + [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in cols[1:]], names=["doc_id", "key", "bucket", "whole", "first", "n", "at"])
 
 
 def _contexts(batches):
@@ -84,10 +90,10 @@ def _contexts(batches):
         for r, data in enumerate(_texts(batch.column("text"))):
             for run in held[r]:
                 row.append(r)
-                runs.append((run["bucket"], run["first"], run["n"], run["kinds"]))
+                runs.append((run["bucket"], run["first"], run["n"], run["at"], run["kinds"]))
                 bytes_.append(data[run["first"] : run["first"] + run["n"] - 1 + LEN].tobytes())
         at = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), *(pa.array([x[i] for x in runs], pa.int64()) for i in range(4)), pa.array(bytes_, pa.binary())], names=["doc_id", "key", "bucket", "first", "n", "kinds", "bytes"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), *(pa.array([x[i] for x in runs], pa.int64()) for i in range(5)), pa.array(bytes_, pa.binary())], names=["doc_id", "key", "bucket", "first", "n", "at", "kinds", "bytes"])
 
 
 def _refined(column, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +102,7 @@ def _refined(column, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     begin = np.cumsum(n + LEN - 1) - (n + LEN - 1)
     row = np.repeat(np.arange(len(n)), n)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    return row, offset, refine(buckets(data))[begin[row] + offset]
+    return row, offset, refine(data)[begin[row] + offset]
 
 
 def _settle(batches):
@@ -136,35 +142,32 @@ def _settle(batches):
         yield from settled(pa.concat_tables(held).combine_chunks()).to_batches()
 
 
-def _cores(batches):
-    """Pieces of PIECE windows of the runs of large buckets: what all windows of a piece have in common, and its bytes."""
-    for batch in batches:
-        row, first, n, core, bytes_ = [], [], [], [], []
-        for r, (bucket, at, count, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "first", "n", "bytes")), strict=True)):
-            data = np.frombuffer(raw, dtype=np.uint8)
-            # the least bucket's position is the first of its kind; pieces are cut at fixed distances before it
-            pos = int(np.argmax(signed(buckets(data)) == bucket))
-            low, high = pos - count + 1, pos
-            block = np.arange(low // PIECE, high // PIECE + 1)
-            begin, end = pos - np.minimum(high, block * PIECE + PIECE - 1), pos - np.maximum(low, block * PIECE)
-            left = pos - block * PIECE
-            row += [r] * len(block)
-            first += (at + begin).tolist()
-            n += (end - begin + 1).tolist()
-            core.append(span_hash(prefix_hash(data), left, left - PIECE + 1 + LEN) ^ mix(block.astype(np.uint64)))
-            bytes_ += [raw[i : j + LEN] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
-        at = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), batch.column("bucket").take(at), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(signed(np.concatenate(core)) if core else np.zeros(0, np.int64)), pa.array(bytes_, pa.binary())], names=["doc_id", "key", "bucket", "first", "n", "core", "bytes"])
-
-
-def _windows(batches):
-    """The windows of pieces, refined to identifiers of LEN bytes."""
-    for batch in batches:
-        n = batch.column("n").to_numpy()
-        if len(n):
-            row, offset, window = _refined(batch.column("bytes").to_pylist(), n)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), batch.column("bucket").take(at), pa.array(signed(window)), pa.array(batch.column("first").to_numpy()[row] + offset)], names=["doc_id", "key", "bucket", "window", "first"])
+def _pieces(width: int):
+    """Runs cut into pieces of up to `width` windows, at fixed distances before the string of the run's bucket. The bytes that all
+    windows of such a piece have in common are its new bucket: equal windows stay together, as their distance is the same."""
+
+    def run(batches):
+        size = LEN - width + 1
+        for batch in batches:
+            row, bucket, whole, first, n, at, bytes_ = ([] for _ in range(7))
+            for r, (held, begin, count, pos, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "first", "n", "at", "bytes")), strict=True)):
+                data = np.frombuffer(raw, dtype=np.uint8)
+                block = np.arange((pos - count + 1) // width, pos // width + 1)
+                start = pos - np.minimum(pos, block * width + width - 1)
+                end = pos - np.maximum(pos - count + 1, block * width)
+                old = mix(np.full(len(block), held, dtype=np.int64).view(np.uint64) + block.astype(np.uint64))
+                row += [r] * len(block)
+                bucket.append(mix(old ^ refine(data, size)[pos - block * width]))
+                whole.append(span_hash(prefix_hash(data), start, end + LEN) ^ mix((pos - start).astype(np.uint64)))
+                first += (begin + start).tolist()
+                n += (end - start + 1).tolist()
+                at += (pos - start).tolist()
+                bytes_ += [raw[i : j + LEN] for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+            took = pa.array(row, pa.int64())
+            ids = [pa.array(signed(np.concatenate(x)) if x else np.zeros(0, np.int64)) for x in (bucket, whole)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(took), batch.column("key").take(took), *ids, *(pa.array(x, pa.int64()) for x in (first, n, at)), pa.array(bytes_, pa.binary())], names=["doc_id", "key", "bucket", "whole", "first", "n", "at", "bytes"])
+
+    return run
 
 
 def _cut(batches):
@@ -182,38 +185,62 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _rounds(spark, large: DataFrame, kinds: int):
+    """Spans that recur in buckets of more than `kinds` kinds of runs, round by round: runs are cut into shorter pieces, each in the
+    bucket of the bytes its windows share. Pieces alone in their bucket are final, equal ones recur as a whole, one of each kind goes
+    on. Buckets that have become small are refined inside tasks. Only pieces that differ at their edges alone are cut again."""
+    for width in WIDTHS:
+        if large.isEmpty():
+            return
+        pieces = staged(large.mapInArrow(_pieces(width), PIECE), "pieces")
+        blocks = pieces.groupBy("bucket", "whole", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "key", "first", "at")).alias("one"), F.max("bytes").alias("bytes"))
+        blocks = staged(blocks, "piece-kinds")
+        shared = staged(blocks.groupBy("bucket").agg(F.sum("c").alias("rows"), F.count("*").alias("kinds")).where("rows > 1"), "piece-buckets")
+        yield pieces.join(blocks.where("c > 1").select("bucket", "whole", "n"), ["bucket", "whole", "n"], "left_semi").select("doc_id", "key", "first", "n")
+        left = blocks.join(shared.where("kinds > 1"), "bucket").select("one.doc_id", "one.key", "bucket", "one.first", "n", "one.at", "kinds", "bytes")
+        left = staged(left, "piece-left")
+        yield _inside(left.where(F.col("kinds") <= kinds))
+        large = left.where(F.col("kinds") > kinds)
+
+
+def _inside(runs: DataFrame) -> DataFrame:
+    """Runs of small buckets, refined a few whole buckets at a time."""
+    dealt = runs.select("doc_id", "key", "bucket", "first", "n", "bytes").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_settle, "doc_id long, key long, first long, n long")
+
+
+PIECE = "doc_id long, key long, bucket long, whole long, first long, n long, at long, bytes binary"
+
+
 def drop_repeats(docs: DataFrame, kinds: int = KINDS) -> DataFrame:
     """docs: doc_id, text. One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Every window of LEN bytes belongs to the position of its least Q-byte bucket, one position for about SPAN / 2 windows. Buckets
     with one position are final. In the others, runs of windows whose bytes are all alike are repeats as a whole; what is left of
-    a shared bucket, one run of each kind with the bytes under it, is refined to LEN bytes: buckets of up to `kinds` kinds inside a
-    task, larger ones first in pieces of neighbouring windows, then window by window, dealt by identifier. Buckets are content
-    fingerprints in place of ranks, so refining needs no global sort, and counts are made before shuffles, so a passage in any
-    number of documents is no load for a task.
-    Identifiers of a window are its bucket's and its own, 128 bits together.
-
-    Null and empty texts, and those under LEN bytes, keep all; repeated rows are repeats of each other; no rows give no rows.
+    a shared bucket, one run of each kind with the bytes under it, is refined to LEN bytes by the identifiers of later offsets:
+    buckets of up to `kinds` kinds inside a task; larger ones in rounds, each of which gives shorter pieces of runs a longer
+    bucket, until buckets are small or a piece is one window. Rows are runs throughout, never windows of them, and equal runs are
+    counted before any join, so a passage in any number of documents is no load for a task. Buckets are content fingerprints in
+    place of ranks, so refining needs no global sort. Identifiers of a window are its bucket's and its own, 128 bits together.
+
+    Null and empty texts, and those under LEN bytes, keep all; a null doc_id is an id like others; texts of any length are whole;
+    repeated rows, of one doc_id or not, are repeats of each other; other columns of docs, whatever their names, play no part; no
+    rows give no rows.
     """
     small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    anchors = staged(keyed.mapInArrow(_anchors, "doc_id long, key long, bucket long, whole long, first long, n long"), "anchors")
-    blocks = anchors.groupBy("bucket", "whole", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "key", "first")).alias("one"))
+    anchors = staged(keyed.mapInArrow(_anchors, "doc_id long, key long, bucket long, whole long, first long, n long, at long"), "anchors")
+    blocks = anchors.groupBy("bucket", "whole", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "key", "first", "at")).alias("one"))
     shared = blocks.groupBy("bucket").agg(F.sum("c").alias("rows"), F.count("*").alias("kinds")).where("rows > 1")
     blocks = staged(blocks.join(shared, "bucket"), "blocks")
     same = anchors.join(blocks.where("c > 1").select("bucket", "whole", "n"), ["bucket", "whole", "n"], "left_semi").select("doc_id", "key", "first", "n")
     open_ = blocks.where("kinds > 1").select("one.*", "bucket", "n", "kinds")
-    runs = open_.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n", "bucket", "kinds")).alias("runs"))
+    runs = open_.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n", "at", "bucket", "kinds")).alias("runs"))
     texts = keyed.alias("t").join(runs.alias("r"), F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.key") == F.col("r.key"))).select("t.doc_id", "t.key", "t.text", "r.runs")
-    where = "doc_id long, key long, bucket long, first long, n long"
-    contexts = staged(texts.mapInArrow(_contexts, f"{where}, kinds long, bytes binary"), "contexts")
-    small = contexts.where(F.col("kinds") <= kinds).select("doc_id", "key", "bucket", "first", "n", "bytes").repartition("bucket").sortWithinPartitions("bucket")
-    few = small.mapInArrow(_settle, "doc_id long, key long, first long, n long")
-    pieces = staged(contexts.where(F.col("kinds") > kinds).mapInArrow(_cores, f"{where}, core long, bytes binary"), "pieces")
-    common = pieces.groupBy("bucket", "core").agg(F.count("*").alias("c")).where("c > 1").select("bucket", "core")
-    windows = staged(pieces.join(common, ["bucket", "core"], "left_semi").mapInArrow(_windows, "doc_id long, key long, bucket long, window long, first long"), "windows")
-    often = windows.groupBy("bucket", "window").agg(F.count("*").alias("c")).where("c > 1").select("bucket", "window")
-    single = windows.join(often, ["bucket", "window"], "left_semi").select("doc_id", "key", "first", F.lit(1).cast("long").alias("n"))
-    spans = staged(same.unionByName(few).unionByName(single).groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n")).alias("spans")), "spans")
+    contexts = staged(texts.mapInArrow(_contexts, "doc_id long, key long, bucket long, first long, n long, at long, kinds long, bytes binary"), "contexts")
+    found = same.unionByName(_inside(contexts.where(F.col("kinds") <= kinds)))
+    for more in _rounds(docs.sparkSession, contexts.where(F.col("kinds") > kinds), kinds):
+        found = found.unionByName(more)
+    spans = staged(found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n")).alias("spans")), "spans")
     both = keyed.alias("t").join(spans.alias("s"), F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.key") == F.col("s.key")), "left").select("t.doc_id", "t.text", "s.spans")
     return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -2,6 +2,9 @@ import hashlib
 
 import numpy as np
 
+import pyarrow as pa
+
+from graphloom.llm import repeats
 from graphloom.llm.repeats import drop_repeats
 
 
@@ -49,3 +52,27 @@ def test_near_copies(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for kinds in (1, 3, 1000):
         assert [tuple(r)[1:] for r in sorted(drop_repeats(df, kinds=kinds).collect())] == brute(texts)
+
+
+def test_odd_rows(spark):
+    """Null and repeated ids, a long repetitive text beside others, a clashing column."""
+    rng = np.random.default_rng(6)
+    say = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    one = say(300)
+    texts = [one, one, say(250) + one, "ab" * 200_000, "ab" * 150, one + "é" * 300, say(400_000)]
+    ids = [None, None, 7, 7, 8, 9, 10]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in zip(ids, texts)], "doc_id long, text string, key int, bucket int")
+    for kinds in (1, 1000):
+        got = sorted(tuple(r)[1:] for r in drop_repeats(df, kinds=kinds).collect())
+        assert got == sorted(brute(texts))
+
+
+def test_stretches(monkeypatch):
+    """A document is looked at in stretches; every window is in one run, whatever their length."""
+    rng = np.random.default_rng(7)
+    text = "".join(rng.choice(list("abcdefgh "), 5000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([5])], names=["doc_id", "text", "key"])
+    for stretch in (300, 1000, 1 << 22):
+        monkeypatch.setattr(repeats, "STRETCH", stretch)
+        runs = next(repeats._anchors([batch])).to_pylist()
+        assert sorted(k for r in runs for k in range(r["first"], r["first"] + r["n"])) == list(range(4801))
