@@ -12,11 +12,13 @@ from graphloom.llm._shared import mix, partitions, shingle_hashes, signed, small
 BUCKETS, MANTISSA, BAND = 128, 10, 4
 #: Members of one star that are verified against one copy of its centre.
 STAR = 256
-#: Members of a cluster's block; two blocks make a tile.
-TILE = 128
+#: Members and shingles of a cluster's block, on average; two blocks make a tile.
+TILE, TILE_SHINGLES = 1024, 2_000_000
+#: Shingles of both sets from which registers decide whether a pair of a tile is looked at; smaller sets are always compared.
+SURE = 1024
 _REST = np.uint64(53)
 _PROBE = np.stack([np.random.default_rng(j).permutation(BUCKETS) for j in range(BUCKETS)])
-SIGNED = "doc_id long, set1 long, set2 long, n long, sig binary"
+SIGNED = "doc_id long, text_hash long, set1 long, set2 long, n long, sig binary"
 
 
 def alone(percent: int) -> int:
@@ -68,7 +70,7 @@ def _sign(k):
                 one.append(int(signed(x).sum()) if len(x) else 0)
                 two.append(int(np.bitwise_xor.reduce(signed(mix(x)))) if len(x) else 0)
                 sig.append(registers(x).tobytes() if len(x) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "set1", "set2", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "text_hash", "set1", "set2", "n", "sig"])
 
     return run
 
@@ -105,109 +107,145 @@ def verify(stars: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
 
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
-    """(node, root): root is the least node reachable. edges: a, b. Alternating large and small stars, staged each round."""
+    """(node, root): root is the least node reachable. edges: a, b. Alternating large and small stars, staged each round, until
+    every node has one link and no root has any, which is looked up on the whole table."""
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), tag)
-    mark = None
     while True:
+        ends = now.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         ways = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = ways.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         now = staged(small, tag)
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first())
-        if seen == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = seen
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, as products of their indicator matrices, some shingles at a time."""
+    value, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    new = np.concatenate([[True], value[1:] != value[:-1]])
+    shared = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+    owner, column = owner[shared], np.cumsum(new[shared]) - 1
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    wide = 4096
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        lo, hi = np.searchsorted(column, (at, at + wide))
+        x = np.zeros((len(sets), column[hi - 1] - at + 1), dtype=np.float32)
+        x[owner[lo:hi], column[lo:hi] - at] = 1
+        out += x @ x.T
+    return out
+
+
+def tile_links(held: list[tuple], k: int, percent: int, low: float):
+    """Links that join different components of a tile, at most one less than its members, each confirmed on the full sets.
+    held: (rep, root, n, sig, block, whether the tile is one block, text)."""
+    n = np.array([h[2] for h in held])
+    block = np.array([h[4] for h in held])
+    sig = np.stack([np.frombuffer(h[3], dtype=np.uint16) for h in held])
+    label = np.unique([h[1] for h in held], return_inverse=True)[1].ravel()
+    across = not held[0][5]
+    look = np.zeros((len(held), len(held)), dtype=bool)
+    for i in range(len(held) - 1):
+        rest = slice(i + 1, None)
+        fit = (label[rest] != label[i]) & (100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest]))
+        if across:
+            fit &= block[rest] != block[i]
+        if n[i] >= SURE:
+            fit &= (n[rest] < SURE) | (estimate((sig[rest] == sig[i]).mean(axis=1)) >= low)
+        look[i, rest] = fit
+    rows = np.flatnonzero(look.any(axis=0) | look.any(axis=1))
+    if not len(rows):
+        return
+    look = look[np.ix_(rows, rows)]
+    both = overlaps(list(_sets(pa.array([held[i][6] for i in rows], pa.string()), k)))
+    size = n[rows].astype(np.float64)
+    look &= 100 * both.astype(np.float64) >= percent * (size[:, None] + size[None, :] - both)
+    look |= look.T
+    label = label[rows]
+    for i in range(len(rows)):
+        linked = np.flatnonzero(look[i])
+        while len(linked := linked[label[linked] != label[i]]):
+            j = linked[0]
+            yield held[rows[i]][0], held[rows[j]][0]
+            label[label == label[j]] = label[i]
 
 
 def _tile(k, percent, low):
-    """Confirms links inside tiles. Emitted are links that join components of a tile, at most one less than its members."""
-
-    def links(held):
-        comp = [h[1] for h in held]
-        n = np.array([h[2] for h in held])
-        block = np.array([h[4] for h in held])
-        sig = np.stack([np.frombuffer(h[3], dtype=np.uint16) for h in held])
-        sets = list(_sets(pa.array([h[6] for h in held], pa.string()), k))
-        across = not held[0][5]
-        roots = {c: c for c in comp}
-
-        def find(c):
-            while roots[c] != c:
-                roots[c] = c = roots[roots[c]]
-            return c
-
-        for i in range(len(held) - 1):
-            rest = slice(i + 1, None)
-            fit = (100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest])) & ((estimate((sig[rest] == sig[i]).mean(axis=1)) >= low) | (n[rest] < 64))
-            if across:
-                fit &= block[rest] != block[i]
-            for j in np.flatnonzero(fit) + i + 1:
-                x, y = find(comp[i]), find(comp[j])
-                if x != y:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= percent * (n[i] + n[j] - both):
-                        roots[max(x, y)] = min(x, y)
-                        yield held[i][0], held[j][0]
+    """Rows come sorted by tile; each tile's links."""
+
+    def written(rows):
+        rows = list(rows)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)], names=["lead", "rep"])
 
     def run(batches):
         key, held = None, []
         for batch in batches:
-            out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[0] != key:
-                    out += links(held) if len(held) > 1 else []
+                    if len(held) > 1:
+                        yield written(tile_links(held, k, percent, low))
                     key, held = row[0], []
                 held.append(row[1:])
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["lead", "rep"])
-        out = list(links(held)) if len(held) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["lead", "rep"])
+        if len(held) > 1:
+            yield written(tile_links(held, k, percent, low))
 
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, low: float = 0.7) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, low: float | None = None) -> DataFrame:
     """docs: doc_id, text. One row per row: doc_id, n_shingles, component_id, kept.
 
-    Texts of equal shingle sets fall together first. Bands of registers give candidates: every member of a bucket against the
-    bucket's least document, so a bucket of any size gives as many candidates as it has members. Full shingle sets confirm them.
-    Then documents of buckets that still hold several components meet in tiles, where pairs of different components whose
-    collision-corrected estimate is at least `low` are confirmed too, so links between members that both differ from the least
+    Texts of equal shingle sets fall together first; from then on a set is a row with a number of its own. Bands of registers give
+    candidates: every member of a bucket against the bucket's least set, so a bucket of any size gives as many candidates as it has
+    members. Full shingle sets confirm them. Then sets of buckets that still hold several components meet in tiles, where the sizes
+    of all intersections between different components are taken at once, so links between members that both differ from the least
     one aren't lost. Tiles emit only the links that join components, so their output follows the number of members.
 
-    Null and empty texts have no shingles and are linked with nothing; repeated rows are one text; a null doc_id keeps a row
-    without component; no rows give no rows.
+    Two sets of a similarity s miss each other in all bands with probability (1 - s**BAND)**(BUCKETS / BAND): 6e-11 at 0.85, 5e-8
+    at 0.8. In tiles, pairs of sets of SURE shingles and more are passed over if their collision-corrected estimate is under `low`,
+    0.25 below the threshold unless given, which happens to a link with a probability under 1e-9.
+
+    Null and empty texts have no shingles and are linked with nothing; texts of any length are whole; repeated rows are one text; a
+    doc_id that stands with several texts is one for each of them; ties go to the least doc_id; a null doc_id keeps a row without
+    component; other columns of docs, whatever their names, play no part; no rows give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    signs = staged(docs.select("doc_id", "text").mapInArrow(_sign(k), SIGNED), "signs")
-    groups = signs.where("n > 0 AND doc_id IS NOT NULL").groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("rep"))
-    groups = staged(groups, "sets")
-    reps = staged(signs.where(f"n > {alone(percent)}").join(groups.withColumnRenamed("rep", "doc_id"), ["set1", "set2", "n", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sig").dropDuplicates(["rep"]), "reps")
+    low = percent / 100 - 0.25 if low is None else low
+    lean = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    signs = staged(lean.mapInArrow(_sign(k), SIGNED), "signs")
+    groups = signs.where("n > 0 AND doc_id IS NOT NULL").groupBy("set1", "set2", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.max("sig").alias("sig"))
+    groups = staged(groups.select(F.monotonically_increasing_id().alias("rep"), "set1", "set2", "n", "one.doc_id", "one.text_hash", "sig"), "sets")
+    reps = groups.where(f"n > {alone(percent)}").select("rep", "n", "sig")
     width = 2 * BAND
     bands = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // BAND - 1)), lambda j: F.xxhash64(j, F.substring("sig", j * width + 1, F.lit(width))))).alias("band"))
-    full = bands.groupBy("band").agg(F.min("rep").alias("lead"), F.count("rep").alias("members")).where("members > 1")
+    full = staged(bands.groupBy("band").agg(F.min("rep").alias("lead"), F.count("rep").alias("members")).where("members > 1"), "buckets")
     bands = staged(bands.join(full.select("band", "lead"), "band"), "bands")
     stars = bands.where("lead <> rep").select("lead", "rep").distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(bands.select("rep").distinct(), "rep").dropDuplicates(["rep"])
-    texts = staged(texts, "texts")
+    wanted = groups.select("rep", "doc_id", "text_hash").join(bands.select("rep").distinct(), "rep")
+    texts = staged(lean.join(wanted, ["doc_id", "text_hash"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
     links = staged(verify(staged(stars, "stars"), texts, k, percent), "links")
     roots = components(links.toDF("a", "b"))
-    named = bands.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
-    several = named.groupBy("band").agg(F.count("rep").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2")
-    # documents that such buckets hold together, directly or in a chain, form a cluster; each is in one
-    open_ = staged(named.join(several.select("band"), "band").select("band", "rep", "root"), "open")
-    firsts = open_.groupBy("band").agg(F.min("rep").alias("a"))
-    chained = components(open_.join(firsts, "band").select("a", F.col("rep").alias("b")))
+    named = staged(bands.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root")), "named")
+    several = staged(named.groupBy("band").agg(F.min("rep").alias("first"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band", "first"), "several")
+    # sets that such buckets hold together, directly or in a chain, form a cluster; each is in one
+    open_ = staged(named.join(several, "band").select("first", "rep", "root"), "open")
+    chained = components(open_.select(F.col("first").alias("a"), F.col("rep").alias("b")))
     member = open_.select("rep", "root").distinct().join(chained.select(F.col("node").alias("rep"), F.col("root").alias("chain")), "rep", "left").withColumn("chain", F.coalesce("chain", "rep"))
-    size = member.groupBy("chain").agg(F.ceil(F.count("rep") / TILE).cast("int").alias("blocks"))
+    member = staged(member.join(reps, "rep"), "members")
+    size = staged(member.groupBy("chain").agg(F.ceil(F.greatest(F.count("rep") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("blocks")), "clusters")
     member = member.join(size, "chain").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    member = member.join(reps, "rep").join(texts, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = member.join(texts, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = member.select(F.xxhash64("chain", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), "rep", "root", "n", "sig", "mine", (F.col("mine") == F.col("other")).alias("same"), "text")
     # a tile of two blocks gets the rows of both; a tile of one block has each row once
-    more = tiles.repartition(partitions(spark), "tile").sortWithinPartitions("tile", "rep").mapInArrow(_tile(k, percent, low), "lead long, rep long")
+    more = staged(tiles.repartition(partitions(spark), "tile").sortWithinPartitions("tile", "rep").mapInArrow(_tile(k, percent, low), "lead long, rep long"), "more-links")
     roots = components(links.unionByName(more).toDF("a", "b"))
-    whole = groups.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set1", "set2", "n", F.coalesce("root", "rep").alias("root"))
-    out = signs.join(whole, ["set1", "set2", "n"], "left").withColumn("component_id", F.coalesce("root", "doc_id"))
+    whole = staged(groups.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set1", "set2", "n", "doc_id", F.coalesce("root", "rep").alias("root")), "roots")
+    least = staged(whole.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("sets")).where("sets > 1").select("root", "least"), "least")
+    whole = staged(whole.join(least, "root", "left").select("set1", "set2", "n", F.coalesce("least", "doc_id").alias("root")), "components")
+    out = signs.join(whole, ["set1", "set2", "n"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -64,9 +64,9 @@ def _texts(column):
 
 
 def _anchors(batches):
-    """One row per run of windows: its bucket, the fingerprint of all its bytes, where it stands, and where in it the bucket's string does."""
+    """One row per run of windows: its bucket, the fingerprint of all its bytes, and where it stands."""
     for batch in batches:
-        cols = [[] for _ in range(6)]
+        cols = [[] for _ in range(5)]
         ids, hashes = batch.column("doc_id"), batch.column("key")
         for r, data in enumerate(_texts(batch.column("text"))):
             if len(data) < LEN:
@@ -76,24 +76,34 @@ def _anchors(batches):
                 b = buckets(part)
                 pos, first, n = owners(b)
                 whole = span_hash(prefix_hash(part), first, first + n - 1 + LEN)
-                for c, v in zip(cols, ([r] * len(pos), signed(b[pos]), signed(whole ^ mix((pos - first).astype(np.uint64))), begin + first, n, pos - first), strict=True):
+                for c, v in zip(cols, ([r] * len(pos), signed(b[pos]), signed(whole ^ mix((pos - first).astype(np.uint64))), begin + first, n), strict=True):
                     c.append(np.asarray(v, dtype=np.int64))
         row = np.concatenate(cols[0]) if cols[0] else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), hashes.take(pa.array(row))] + [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in cols[1:]], names=["doc_id", "key", "bucket", "whole", "first", "n", "at"])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), hashes.take(pa.array(row))] + [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in cols[1:]], names=["doc_id", "key", "bucket", "whole", "first", "n"])
 
 
-def _contexts(batches):
-    """The bytes under the windows of the runs that their bucket alone doesn't settle."""
-    for batch in batches:
+def _contexts(kinds: int):
+    """The bytes under the windows of the runs that their bucket alone doesn't settle; for large buckets, also where its string is."""
+
+    def run_(batches):
+        for batch in batches:
+            yield held_runs(batch)
+
+    def held_runs(batch):
         row, runs, bytes_ = [], [], []
         held = batch.column("runs").to_pylist()
         for r, data in enumerate(_texts(batch.column("text"))):
             for run in held[r]:
                 row.append(r)
-                runs.append((run["bucket"], run["first"], run["n"], run["at"], run["kinds"]))
-                bytes_.append(data[run["first"] : run["first"] + run["n"] - 1 + LEN].tobytes())
-        at = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), *(pa.array([x[i] for x in runs], pa.int64()) for i in range(5)), pa.array(bytes_, pa.binary())], names=["doc_id", "key", "bucket", "first", "n", "at", "kinds", "bytes"])
+                held_bytes = data[run["first"] : run["first"] + run["n"] - 1 + LEN]
+                # the least bucket's string is the first of its kind in the run
+                at = int(np.argmax(signed(buckets(held_bytes)) == run["bucket"])) if run["kinds"] > kinds else 0
+                runs.append((run["bucket"], run["first"], run["n"], at, run["kinds"]))
+                bytes_.append(held_bytes.tobytes())
+        took = pa.array(row, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(took), batch.column("key").take(took), *(pa.array([x[i] for x in runs], pa.int64()) for i in range(5)), pa.array(bytes_, pa.binary())], names=["doc_id", "key", "bucket", "first", "n", "at", "kinds", "bytes"])
+
+    return run_
 
 
 def _refined(column, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,18 +239,18 @@ def drop_repeats(docs: DataFrame, kinds: int = KINDS) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    anchors = staged(keyed.mapInArrow(_anchors, "doc_id long, key long, bucket long, whole long, first long, n long, at long"), "anchors")
-    blocks = anchors.groupBy("bucket", "whole", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "key", "first", "at")).alias("one"))
+    anchors = staged(keyed.mapInArrow(_anchors, "doc_id long, key long, bucket long, whole long, first long, n long"), "anchors")
+    blocks = anchors.groupBy("bucket", "whole", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "key", "first")).alias("one"))
     shared = blocks.groupBy("bucket").agg(F.sum("c").alias("rows"), F.count("*").alias("kinds")).where("rows > 1")
     blocks = staged(blocks.join(shared, "bucket"), "blocks")
     same = anchors.join(blocks.where("c > 1").select("bucket", "whole", "n"), ["bucket", "whole", "n"], "left_semi").select("doc_id", "key", "first", "n")
     open_ = blocks.where("kinds > 1").select("one.*", "bucket", "n", "kinds")
-    runs = open_.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n", "at", "bucket", "kinds")).alias("runs"))
+    runs = open_.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n", "bucket", "kinds")).alias("runs"))
     texts = keyed.alias("t").join(runs.alias("r"), F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.key") == F.col("r.key"))).select("t.doc_id", "t.key", "t.text", "r.runs")
-    contexts = staged(texts.mapInArrow(_contexts, "doc_id long, key long, bucket long, first long, n long, at long, kinds long, bytes binary"), "contexts")
+    contexts = staged(texts.mapInArrow(_contexts(kinds), "doc_id long, key long, bucket long, first long, n long, at long, kinds long, bytes binary"), "contexts")
     found = same.unionByName(_inside(contexts.where(F.col("kinds") <= kinds)))
     for more in _rounds(docs.sparkSession, contexts.where(F.col("kinds") > kinds), kinds):
         found = found.unionByName(more)
-    spans = staged(found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n")).alias("spans")), "spans")
+    spans = staged(found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n")).alias("spans")), "spans")
     both = keyed.alias("t").join(spans.alias("s"), F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.key") == F.col("s.key")), "left").select("t.doc_id", "t.text", "s.spans")
     return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
