@@ -20,7 +20,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeated rows and null or repeated doc_ids are rows like others; rows without words are all kept."""
     drop_staged(spark, docs)
     keyed = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    rows = neardup.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), percent=80, low=0.65)
+    rows = neardup.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), percent=80)
     gone = rows.where("NOT kept").select(F.col("doc_id").alias("_row"))
     return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
 
