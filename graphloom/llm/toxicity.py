@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -12,100 +13,174 @@ from pyspark.sql import functions as F
 
 from graphloom.llm._shared import small_batches, staged
 
-#: Labelled rows that the classifier is fitted on at most, in order of a hash of doc_id.
+#: Labelled rows that the classifier is fitted on at most, in order of a hash of doc_id. Everything else counts all rows.
 FIT_ROWS = 20_000
-FEATURES = 4_000
-#: Counts that a task holds before it passes them on.
+#: Different words or features that a task holds before it counts them up or passes them on.
 HELD = 200_000
-#: What a character may stand for besides itself, with the channel's log probability of the disguise.
-LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "l"}
-DISGUISE, REPEAT = -2.0, -1.0
-_SPACED = re.compile(r"(?:(?<=[\x20\x09-\x0D])|^)(?:[^\W_][\x20.\-_*]){2,}[^\W_](?=[\x20\x09-\x0D.,!?]|$)")
-_EDGE = ".,;:!?\"'()[]{}*#%&$-_=+~^<>/\\|`"
-_TRIPLE = re.compile(r"(.)\1\1")
-_ODD = re.compile(r"[^\W\d_][0-9@$!+|]|[0-9@$!+|][^\W\d_]")
+#: What a character may stand for besides itself, with the channel's log probabilities of a disguise, a repeat, a mark inside a
+#: word and a space inside a word.
+LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "*": "aeiou"}
+DISGUISE, REPEAT, MARK, SPACE, FLOOR = -2.0, -1.0, -2.0, -1.0, -9.0
+#: A character's class under all disguises: what a lattice can lead to has the classes of what it started from, repeats taken out.
+CLASSES = {**{c: x[0] for c, x in LEET.items() if c != "*"}, "l": "i"}
+_CLASSES = str.maketrans({**CLASSES, **dict.fromkeys(".,;:?\"'()[]{}#%&-_=~^<>/\\`", None)})
+_RUN = re.compile(r"[^\W_]+")
+_AGAIN = re.compile(r"(.)\1+", re.S)
+_MARKS = ".,;:?\"'()[]{}#%&-_=~^<>/\\`"
+
+
+def fold(text: str) -> str:
+    """Lower case, letters without their accents."""
+    text = text.lower()
+    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+def skeleton(text: str) -> str:
+    """Classes of a folded text's characters, marks left out, repeats taken together."""
+    return _AGAIN.sub(r"\1", text.translate(_CLASSES))
+
+
+def symbol(c: str) -> str:
+    """The language model's alphabet: a to z, one symbol for other letters, one for the rest."""
+    return c if "a" <= c <= "z" else "?" if c.isalpha() else "#"
 
 
 def _count(batches):
-    """Character trigrams of a partition's words, case folded; a trigram may have more than one row."""
+    """Trigrams of symbols of the words and numbers of a partition; what mixes the two may be a disguise and teaches nothing."""
     seen: Counter = Counter()
-
-    def counted():
-        return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
+    held: Counter = Counter()
+
+    def count():
+        for token, n in held.items():
+            for w in _RUN.findall(fold(token)):
+                if not w.isalpha() and not w.isdecimal():
+                    continue
+                w = w if w.isascii() and w.isalpha() else "".join(map(symbol, w))
+                padded = f"^^{w}$"
+                for i in range(len(padded) - 2):
+                    seen[padded[i : i + 3]] += n
+        held.clear()
 
     for batch in batches:
-        held: Counter = Counter()
         for text in batch.column(0).to_pylist():
-            held.update(w for w in (text or "").lower().split() if w.isalpha())
-        for w, n in held.items():
-            padded = f"^^{w}$"
-            for i in range(len(padded) - 2):
-                seen[padded[i : i + 3]] += n
-        if len(seen) >= HELD:
-            yield counted()
-            seen.clear()
-    yield counted()
-
-
-def language_model(docs: DataFrame, most: int = 50_000) -> dict[str, float]:
-    """Log probabilities of a character after two others, counted over all documents; the `most` frequent trigrams are kept,
-    a bound on the model's size, and others fall back to a floor."""
-    counts = docs.select("text").mapInArrow(_count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "gram").limit(most).collect()
+            held.update((text or "").split())
+        if len(held) >= HELD:
+            count()
+    count()
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
+
+
+def language_model(docs: DataFrame) -> dict[str, float]:
+    """Log probabilities of a symbol after two others, counted over all words of all documents. There are 28 symbols and two ends
+    of words, so no corpus gives more than 30**3 of them."""
+    rows = docs.select("text").mapInArrow(_count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     total: Counter = Counter()
     for r in rows:
         total[r.gram[:2]] += r.n
     return {r.gram: float(np.log(r.n / (total[r.gram[:2]] + 1))) for r in rows}
 
 
-def restore(word: str, lm: dict[str, float], floor: float = -9.0) -> str:
-    """Viterbi over the lattice of a word's characters: each is itself or what it may stand for, and a repeat may be dropped."""
+def restore(span: str, lm: dict[str, float]) -> str:
+    """Viterbi over the lattice of a folded span's characters. Each is itself or what it may stand for; a repeat may be dropped; a
+    mark is dropped, at no cost at the span's ends, or parts two words if it is no sign for a letter; spaces are marks, too."""
     beam = {("^", "^"): (0.0, "")}
+    ends = (len(span) - len(span.lstrip(_MARKS + "!")), len(span.rstrip(_MARKS + "!")))
     before = ""
-    for c in word:
+    for at, c in enumerate(span):
         after: dict = {}
-        options = [(c, 0.0)] + [(x, DISGUISE) for x in LEET.get(c, "")]
+
+        def take(state, score, text):
+            if state not in after or score > after[state][0]:
+                after[state] = (score, text)  # noqa: B023
+
+        alnum = c.isalnum()
+        options = [(c, symbol(c), 0.0)] if alnum else []
+        options += [(x, x, DISGUISE) for x in LEET.get(c, "")]
         for (a, b), (score, text) in beam.items():
-            for x, cost in options:
-                s = score + cost + lm.get(a + b + x, floor)
-                if (b, x) not in after or s > after[b, x][0]:
-                    after[b, x] = (s, text + x)
-            if c == before and (s := score + REPEAT) > after.get((a, b), (-1e300,))[0]:
-                after[a, b] = (s, text)
+            for letter, x, cost in options:
+                take((b, x), score + cost + lm.get(a + b + x, FLOOR), text + letter)
+            if c == before:
+                take((a, b), score + REPEAT, text)
+            if not alnum:
+                outside = at < ends[0] or at >= ends[1]
+                take((a, b), score + (0.0 if outside else SPACE if c == " " else MARK if c not in LEET or c == "*" else 2 * MARK), text)
+                if not outside and b != "^" and c not in LEET:
+                    take(("^", "^"), score + lm.get(a + b + "$", FLOOR), text + " ")
         beam, before = after, c
-    return max((s + lm.get(a + b + "$", floor), t) for (a, b), (s, t) in beam.items())[1]
+    return max((s + (0.0 if b == "^" else lm.get(a + b + "$", FLOOR)), t) for (a, b), (s, t) in beam.items())[1]
+
+
+def _plain(word: str) -> bool:
+    return word.isalpha() and not _AGAIN.search(word)
+
+
+def spans(words: list[str], joined: set[str] | None = None) -> list[str]:
+    """What of a folded text's words has to be decoded: words with marks, digits or repeats in them, runs of three and more single
+    characters, and neighbours whose skeletons together are in joined."""
+    out = {w for w in set(words) if not _plain(w) and any(map(str.isalpha, w))}
+    if sum(len(w) == 1 for w in words) > 2:
+        run: list[str] = []
+        for w in [*words, "  "]:
+            if len(w) == 1:
+                run.append(w)
+            else:
+                if len(run) > 2:
+                    out.add(" ".join(run))
+                run = []
+    if joined:
+        for size in (2, 3):
+            for at in range(len(words) - size + 1):
+                if skeleton("".join(words[at : at + size])) in joined:
+                    out.add(" ".join(words[at : at + size]))
+    return sorted(out)
 
 
 def features(text: str, lm: dict[str, float], memo: dict[str, str], only: dict | None = None) -> set[str]:
-    """Restored words of a text and their first 4, 5 and 6 letters; of these, those in `only`. Letters set apart by single marks
-    are put together first. A word that nothing could disguise has one path through its lattice and needs no decoding."""
-    text = text.lower()
+    """Restored words of a text, and their first 4, 5 and 6 letters where they stand once, twice and three times or more; of these,
+    those in `only`. Without any skeleton of a word in `only`, a text has no path to one and needs no decoding."""
+    text = fold(text)
     words = text.split()
-    if sum(len(w) == 1 for w in words) > 2 or "-" in text or "_" in text or "*" in text or any("." in w[1:-1] for w in words):
-        words = _SPACED.sub(lambda m: re.sub(r"[\x20.\-_*]", "", m[0]), text).split()
-    triple = _TRIPLE.search(text) is not None
-    out = set()
-    for w in set(words):
-        plain = w.isalpha()
-        if not plain:
-            w = w.strip(_EDGE) or w
-            plain = w.isalpha()
-        if (not plain and _ODD.search(w)) or (triple and _TRIPLE.search(w)):
-            got = memo.get(w)
-            if got is None:
-                got = restore(w, lm)
-                if len(memo) < 200_000:
-                    memo[w] = got
-            w = got
-        out.add(w)
-    if only is None:
-        return out | {f"{w[:n]}~" for w in out for n in (4, 5, 6) if len(w) > n}
-    heads = only["heads"]
-    found = {w for w in out if w in only["weights"]}
-    for w in out:
-        if w[:4] in heads:
-            found.update(f for n in (4, 5, 6) if len(w) > n and (f := f"{w[:n]}~") in only["weights"])
-    return found
+    joined: set[str] = set()
+    if only is not None:
+        classes = skeleton(text).split()
+        kinds = set(classes)
+        joined = {a + b for a, b in zip(classes, classes[1:], strict=False)} & only["whole"]
+        joined |= {a + b + c for a, b, c in zip(classes, classes[1:], classes[2:], strict=False) if len(a) < 4 and len(b) < 4} & only["whole"]
+        near = joined or kinds & only["whole"] or "*" in text or sum(len(w) == 1 for w in words) > 2
+        if not near and not any(k[:3] in only["starts"] for k in kinds):
+            return set()
+    often = Counter(words)
+    out = Counter({w: n for w, n in often.items() if _plain(w)})
+    for w in spans(words, joined):
+        got = memo.get(w)
+        if got is None:
+            if only is not None and "*" not in w and " " not in w and not _near(w, only):
+                continue
+            got = restore(w, lm)
+            if len(memo) < HELD:
+                memo[w] = got
+        for x in got.split():
+            out[x] += max(1, often[w])
+    heads: Counter = Counter()
+    for w, times in out.items():
+        if only is None or w[:4] in only["heads"]:
+            for n in (4, 5, 6):
+                if len(w) > n:
+                    heads[w[:n]] += times
+    found = out.keys() | {f"{h}~{i}" for h, times in heads.items() for i in range(1, min(3, times) + 1)}
+    return found if only is None else found & only["weights"].keys()
+
+
+def _near(word: str, only: dict) -> bool:
+    """Whether a path of a word, or of its parts between marks, may lead to a feature."""
+    parts = [skeleton(word), *(_RUN.findall(skeleton(re.sub(r"[\W_]+", " ", word))))]
+    return any(k in only["whole"] or k[:3] in only["starts"] for k in parts)
+
+
+def wanted(weights: dict[str, float]) -> dict:
+    """What `features` looks for: the weights, the heads of those that are heads, and the skeletons of all."""
+    heads = {f.partition("~")[0] for f in weights if "~" in f}
+    return {"weights": weights, "heads": {h[:4] for h in heads}, "whole": {skeleton(f) for f in weights if "~" not in f}, "starts": {skeleton(h)[:3] for h in heads}}
 
 
 def _count_features(lm: dict[str, float]):
@@ -131,11 +206,12 @@ def _count_features(lm: dict[str, float]):
     return run
 
 
-def strongest(counts: DataFrame) -> dict[str, float]:
-    """Log-odds of the features that mark the toxic label most, FEATURES of them at most, out of (feature, clean, toxic)."""
+def telling(counts: DataFrame) -> list[str]:
+    """The features, out of (feature, clean, toxic), that mark the toxic label by more than chance. Their number is bounded by the
+    words of FIT_ROWS rows."""
     total = counts.where("feature = ''").first()
     if total is None or not total.clean or not total.toxic:
-        return {}
+        return []
     n0, n1 = total.clean, total.toxic
     odds = F.log((F.col("toxic") + 0.2) / (n1 + 0.4)) - F.log((F.col("clean") + 0.2) / (n0 + 0.4))
     rate, both = n1 / (n0 + n1), F.col("toxic") + F.col("clean")
@@ -147,72 +223,114 @@ def strongest(counts: DataFrame) -> dict[str, float]:
     gain = term(F.col("toxic"), rate) + term(F.col("clean"), 1 - rate)
     often = counts.where("feature <> '' AND toxic >= 3").withColumn("odds", odds).withColumn("gain", gain)
     bar = float(np.log(max(1, often.count())) + 1)
-    best = often.where((F.col("odds") > 1.5) & (F.col("gain") > bar)).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "feature")
-    return {r.feature: r.odds for r in best.limit(FEATURES).collect()}
+    return sorted(r.feature for r in often.where((F.col("odds") > 1.5) & (F.col("gain") > bar)).select("feature").collect())
+
+
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights and, last, the bias of a logistic regression of y on x, rows counting n times; Newton steps, halved where they overshoot."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    penalty = np.full(x.shape[1], ridge)
+    penalty[-1] = 1e-6
+
+    def loss(w):
+        z = x @ w
+        return float((n * (np.logaddexp(0, z) - y * z)).sum() + (penalty * w * w).sum() / 2)
+
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (n * (y - p)) - penalty * w)
+        while loss(w + step) > loss(w) and abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
+        if abs(step).max() < 1e-9:
+            break
+    return w
 
 
-def _summed(lm: dict[str, float], weights: dict[str, float]):
-    """For mapInArrow over (text, any): the sum that the logistic model takes, beside the second column."""
+def _summed(lm: dict[str, float], weights: dict[str, float], bias: float):
+    """For mapInArrow over (text, any): the weights of the text's features and the bias summed up, beside the second column."""
 
     def run(batches):
         memo: dict[str, str] = {}
-        only = {"weights": weights, "heads": {f[:4] for f in weights if f.endswith("~")}}
+        only = wanted(weights)
         for batch in batches:
-            x = [_best(features(t or "", lm, memo, only), weights) for t in batch.column(0).to_pylist()]
+            x = [evidence(t, lm, memo, only, bias) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.float64())], names=["y", "x"])
 
     return run
 
 
+def evidence(text: str | None, lm: dict[str, float], memo: dict[str, str], only: dict, bias: float) -> float:
+    return bias + sum(only["weights"][f] for f in sorted(features(text or "", lm, memo, only)))
+
+
+def _held(lm: dict[str, float], names: list[str]):
+    """For mapInArrow over (text, toxic): the numbers of the text's features, beside the label."""
+
+    def run(batches):
+        memo: dict[str, str] = {}
+        only = wanted({f: float(i) for i, f in enumerate(names)})
+        for batch in batches:
+            found = [sorted(int(only["weights"][f]) for f in features(t or "", lm, memo, only)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["y", "x"])
+
+    return run
+
+
 def fit(known: DataFrame, lm: dict[str, float]) -> tuple[dict[str, float], float]:
-    """Weights and bias from known: (text, toxic). Features are counted, chosen and summed up where the rows are; the driver holds
-    FEATURES weights and two numbers a row."""
+    """Weights of features and bias from known: (text, toxic). Features are counted and chosen where the rows are; the driver gets
+    the rows' numbers of features, of which there are no more than of rows."""
     counts = known.mapInArrow(_count_features(lm), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = staged(counts.where("toxic >= 3 OR feature = ''"), "features")
-    weights = strongest(counts)
-    if not weights:
+    names = telling(counts)
+    if not names:
+        # without evidence of its own no text is toxic, whatever the labels' rate
         total = counts.where("feature = ''").first()
-        return {}, 0.0 if total is None else float(np.log((total.toxic + 0.2) / (total.clean + 0.2)))
-    rows = known.mapInArrow(_summed(lm, weights), "y int, x double").toPandas().sort_values(["x", "y"])
-    x, y = rows["x"].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float)
-    a, b = 1.0, -4.0
-    for _ in range(300):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        g = np.array([((y - p) * x).mean() - 1e-4 * a, (y - p).mean()])
-        h = np.array([[(w * x * x).mean() + 1e-4, (w * x).mean()], [(w * x).mean(), w.mean() + 1e-6]])
-        d = np.linalg.solve(h, g)
-        a, b = a + d[0], b + d[1]
-        if abs(d).max() < 1e-9:
-            break
-    return {f: a * v for f, v in weights.items()}, float(b)
+        return {}, -2.0 if total is None else float(min(-2.0, np.log((total.toxic + 0.2) / (total.clean + 0.2))))
+    rows = known.mapInArrow(_held(lm, names), "y int, x array<int>").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").collect()
+    x = np.zeros((len(rows), len(names)))
+    for i, r in enumerate(rows):
+        x[i, r.x] = 1
+    w = logistic(x, np.array([r.y for r in rows], dtype=float), np.array([r.n for r in rows], dtype=float))
+    return dict(zip(names, w[:-1].tolist(), strict=True)), float(w[-1])
 
 
-def _best(found: set[str], weights: dict[str, float]) -> float:
-    top = sorted((weights[f] for f in found if f in weights), reverse=True)[:3]
-    return sum(v / (i + 1) for i, v in enumerate(top))
+def _model(docs: DataFrame, labels: DataFrame, held_out: int):
+    small_batches(docs.sparkSession)
+    lm = language_model(docs)
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    return lm, *fit(rows, lm)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_out: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Labels are learnt only from documents whose crc32(doc_id as text) modulo 4 isn't `held_out`, FIT_ROWS of them at most. The
-    decoder's language model counts all documents; the score sees the text alone. Null and empty texts are scored like any
-    (without features); null labels teach nothing; without labels of both kinds every score is the same; repeated rows each
-    have their row; no rows give no rows.
+    decoder's language model counts all documents; the score sees the text alone, all of it. Null and empty texts are scored like
+    any (without features); null labels teach nothing, of several labels the highest does; without labels of both kinds every
+    score is the same and below 0.3; ties in the order of labels go by doc_id; repeated rows each have their row; other columns of
+    docs or labels, whatever their names, play no part; no rows give no rows.
     """
-    small_batches(docs.sparkSession)
-    lm = language_model(docs)
+    lm, weights, bias = _model(docs, labels, held_out)
     out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == held_out
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    rows = docs.join(F.broadcast(known), "doc_id").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
-    weights, bias = fit(rows, lm)
-    scored = docs.select("text", "doc_id").mapInArrow(_summed(lm, weights), "y long, x double")
-    scored = scored.select(F.col("y").alias("doc_id"), (1 / (1 + F.exp(-(F.col("x") + bias)))).alias("score"))
+    scored = docs.select("text", "doc_id").mapInArrow(_summed(lm, weights, bias), "y long, x double")
+    scored = scored.select(F.col("y").alias("doc_id"), (1 / (1 + F.exp(-F.col("x")))).alias("score"))
     return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    bad = score_toxicity(docs, labels, threshold).where("predicted = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_out: int = 2) -> DataFrame:
+    """The rows of docs whose own text scores under the threshold, with all their columns. Rows are judged where they are."""
+    lm, weights, bias = _model(docs, labels, held_out)
+    bar = np.log(threshold / (1 - threshold))
+
+    def keep(batches):
+        memo: dict[str, str] = {}
+        only = wanted(weights)
+        for batch in batches:
+            fine = [evidence(t, lm, memo, only, bias) < bar for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(fine, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -1,7 +1,6 @@
 import corpus_pipeline
-import pytest
 
-from graphloom.llm import decontam, queries, toxicity
+from graphloom.llm import decontam
 
 SF = "/root/testdata/sf0.01"
 
@@ -21,24 +20,6 @@ def test_contaminated(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
-def test_toxicity_held_out(spark):
-    scored = queries.op7_toxicity(spark, SF).collect()
-    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    held = [(r.predicted, label[r.doc_id]) for r in scored if r.held_out and r.doc_id in label]
-    assert sum(p == y for p, y in held) >= 0.9 * len(held)
-    assert len(scored) == spark.read.parquet(f"{SF}/documents.parquet").count()
-
-
-@pytest.mark.parametrize("word", ["1d10t", "iiidiot", "id!ot"])
-def test_restore(word):
-    lm = {}
-    for w in ["idiot"] * 50 + ["other"] * 5:
-        p = f"^^{w}$"
-        for i in range(len(p) - 2):
-            lm[p[i : i + 3]] = -0.1
-    assert toxicity.restore(word, lm) == "idiot"
-
-
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert len(rows) > 300 and len({r.doc_id for r in rows}) == len(rows)
