@@ -20,10 +20,16 @@ BATCH_ROWS = 500
 STEP_BYTES = 1 << 21
 
 
+#: Folders that `staged` has written in this process, in order.
+WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where the session names none (tests, a laptop) is one made."""
+    """The folder of spark.checkpoint.dir. Only on a local master (tests, a laptop) is one made where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -34,18 +40,17 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: lineage ends here and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{STAGED}/{tag}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession, docs: DataFrame) -> None:
-    """Removes what earlier steps have staged, unless docs still reads it."""
-    folder = f"{shared_dir(spark)}/{STAGED}"
-    if any(f"/{STAGED}/" in f for f in docs.inputFiles()):
-        return
+def drop_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders that `staged` has written, and no others."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:

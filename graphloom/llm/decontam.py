@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import shingle_hashes, small_batches, steps
+from graphloom.llm._shared import shingle_hashes, small_batches, staged, steps
 
 #: Tokens of benchmark items that one pass over the documents holds; more items make more passes.
 BLOCK_TOKENS = 2_000_000
@@ -21,36 +21,41 @@ def words(text: str) -> list[bytes]:
     return _WORD.findall(text.encode("utf-8", "surrogatepass").lower())
 
 
-def tile(item: list[bytes], doc: list[bytes], least: int, seeds: dict[int, list[int]] | None = None) -> int:
-    """Tokens of item that tiles cover. Greedy string tiling: by running Karp-Rabin fingerprints of `least` tokens, find the
-    longest matches of unmarked tokens, mark them, and again until none of `least` tokens or more is left.
-
-    seeds: for positions of item, those of doc where `least` equal tokens start; looked up here if not given."""
-    if seeds is None:
-        at: dict[tuple, list[int]] = {}
-        for j in range(len(doc) - least + 1):
-            at.setdefault(tuple(doc[j : j + least]), []).append(j)
-        seeds = {i: found for i in range(len(item) - least + 1) if (found := at.get(tuple(item[i : i + least])))}
-    free_a, free_b, covered = [True] * len(item), [True] * len(doc), 0
-    while covered < len(item):
-        best, found = least, []
-        for i, starts in seeds.items():
-            if not free_a[i]:
-                continue
-            for j in starts:
-                n = 0
-                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and free_a[i + n] and free_b[j + n]:
-                    n += 1
-                if n > best:
-                    best, found = n, [(i, j)]
-                elif n == best:
-                    found.append((i, j))
-        if not found:
-            break
-        for i, j in found:
-            if all(free_a[i : i + best]) and all(free_b[j : j + best]):
-                free_a[i : i + best] = free_b[j : j + best] = [False] * best
-                covered += best
+def shared_starts(item: list[bytes], doc: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in item and doc where `least` equal tokens start."""
+    at: dict[tuple, list[int]] = {}
+    for j in range(len(doc) - least + 1):
+        at.setdefault(tuple(doc[j : j + least]), []).append(j)
+    pairs = [(i, j) for i in range(len(item) - least + 1) for j in at.get(tuple(item[i : i + least]), ())]
+    return tuple(np.array(pairs, dtype=np.int64).reshape(-1, 2).T)
+
+
+def tile(item: list[bytes], doc: list[bytes], least: int, seeds: tuple[np.ndarray, np.ndarray] | None = None) -> int:
+    """Tokens of item that tiles cover. Greedy string tiling: the longest match of unmarked tokens is marked, ties by its place in
+    item, then doc, and again until none of `least` tokens or more is left. Neighbouring seeds on one diagonal are one match, so
+    each match is looked at once and again only in the parts that marks have left of it.
+
+    seeds: places in item and doc where `least` equal tokens start, by running fingerprints; looked up here if not given."""
+    i, j = shared_starts(item, doc, least) if seeds is None else seeds
+    if not len(i):
+        return 0
+    order = np.lexsort((i, j - i))
+    i, j = i[order], j[order]
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(j - i) != 0) | (np.diff(i) != 1)]))
+    heap = list(zip((-(np.diff(np.append(begin, len(i))) + least - 1)).tolist(), i[begin].tolist(), j[begin].tolist(), strict=True))
+    heapify(heap)
+    free_a, free_b, covered = np.ones(len(item), dtype=bool), np.ones(len(doc), dtype=bool), 0
+    while heap and covered < len(item):
+        n, x, y = heappop(heap)
+        free = free_a[x : x - n] & free_b[y : y - n]
+        if free.all():
+            free_a[x : x - n] = free_b[y : y - n] = False
+            covered -= n
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+        for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if hi - lo >= least:
+                heappush(heap, (lo - hi, x + lo, y + lo))
     return covered
 
 
@@ -81,13 +86,12 @@ def _groups(row, item, place, at, least, need):
     touched = np.bincount(pair[f], weights=step)
     start = np.append(np.flatnonzero(new), len(row))
     for g in np.flatnonzero(touched >= need[item[start[:-1]]]):
-        seeds: dict[int, list[int]] = {}
-        for i, j in zip(place[start[g] : start[g + 1]].tolist(), at[start[g] : start[g + 1]].tolist(), strict=True):
-            seeds.setdefault(i, []).append(j)
-        yield int(row[start[g]]), int(item[start[g]]), seeds
+        part = slice(start[g], start[g + 1])
+        yield int(row[start[g]]), int(item[start[g]]), (place[part], at[part])
 
 
-def _match(items, k, share):
+def _matcher(items, k, share):
+    """A function that gives (row, item_id, covered, words of the item) of the items that a column of texts holds."""
     tokens = [(i, words(t)) for i, t in items]
     need = np.array([share * len(t) for _, t in tokens])
     by_length: dict[int, list] = {}
@@ -101,59 +105,88 @@ def _match(items, k, share):
         order = np.argsort(h, kind="stable")
         indexes[length] = h[order], owner[order], place[order]
 
+    def found(texts):
+        for at, _, data, offsets in steps(texts):
+            for length, index in indexes.items():
+                x, bounds = shingle_hashes(data, offsets, length)
+                held, doc = -1, []
+                for r, n, seeds in _groups(*_seeds(x, bounds, index), length, need):
+                    if r != held:
+                        held, doc = r, words(texts[at + r].as_py())
+                    item, t = tokens[n]
+                    covered = tile(t, doc, length, seeds)
+                    if covered >= share * len(t):
+                        yield at + r, item, covered, len(t)
+
+    return found
+
+
+def _match(items, k, share):
     def run(batches):
+        found = _matcher(items, k, share)
         for batch in batches:
-            out = []
-            texts, ids = batch.column("text"), batch.column("doc_id")
-            for at, _, data, offsets in steps(texts):
-                for length, index in indexes.items():
-                    x, bounds = shingle_hashes(data, offsets, length)
-                    held, doc = -1, []
-                    for r, n, seeds in _groups(*_seeds(x, bounds, index), length, need):
-                        if r != held:
-                            held, doc = r, words(texts[at + r].as_py())
-                        item, t = tokens[n]
-                        covered = tile(t, doc, length, seeds)
-                        if covered >= share * len(t):
-                            out.append((ids[at + r].as_py(), item, covered, len(t)))
+            ids = batch.column("doc_id")
+            out = [(ids[r].as_py(), *rest) for r, *rest in found(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["doc_id", "item_id", "covered", "item_words"])
 
     return run
 
 
+def _clean(items, k, share):
+    def run(batches):
+        found = _matcher(items, k, share)
+        for batch in batches:
+            fine = np.ones(batch.num_rows, dtype=bool)
+            fine[[r for r, *_ in found(batch.column("text"))]] = False
+            yield batch.filter(pa.array(fine))
+
+    return run
+
+
 def blocks(benchmark: DataFrame):
-    """Lists of (item_id, text) of at most BLOCK_TOKENS words or one item, read in order through the driver one block at a time."""
-    held, size = [], 0
+    """(list of (item_id, text), whether it is the last), of at most BLOCK_TOKENS words or one item each, read in order through
+    the driver one block at a time."""
+    held, size, ready = [], 0, None
     for row in benchmark.where("text IS NOT NULL").select("item_id", "text").toLocalIterator():
         n = len(words(row.text))
         if not n:
             continue
         if held and size + n > BLOCK_TOKENS:
-            yield held
-            held, size = [], 0
+            if ready:
+                yield ready, False
+            ready, held, size = held, [], 0
         held.append((row.item_id, row.text))
         size += n
+    if ready:
+        yield ready, not held
     if held:
-        yield held
+        yield held, True
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
     """(doc_id, item_id, covered, item_words): items of which tiles of k words or more cover at least `share` in a document.
 
     Reordered passages count, as tiles stand anywhere. An item of fewer than k words is one tile. Null and empty texts and items
-    match nothing; repeated rows give repeated rows; no rows on either side give no rows. Documents are never shuffled; items
-    come in blocks of bounded size, each block one pass over the documents.
+    match nothing; texts and items of any length are whole; repeated rows give repeated rows, repeated items repeat theirs; null
+    ids are kept as they are; ties between tiles go to the first place; other columns, whatever their names, play no part; no rows
+    on either side give no rows. Documents are never shuffled; items come in blocks of bounded size, each block one pass over the
+    documents, written before the next is read.
     """
     small_batches(docs.sparkSession)
     lean = docs.select("doc_id", "text")
     schema = "doc_id long, item_id long, covered long, item_words long"
     out = None
-    for block in blocks(benchmark):
+    for block, last in blocks(benchmark):
         part = lean.mapInArrow(_match(block, k, share), schema)
+        part = part if last and out is None else staged(part, "contaminated")
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
-    bad = contaminated(docs, benchmark, k, share).select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, with all their columns, whose own text holds no item of the benchmark as `contaminated` tells."""
+    small_batches(docs.sparkSession)
+    for block, last in blocks(benchmark):
+        docs = docs.mapInArrow(_clean(block, k, share), docs.schema)
+        docs = docs if last else staged(docs, "clean")
+    return docs

@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: License notices as they are published.
-TEMPLATES = {
-    "apache-2.0-line": "Licensed under the Apache License, Version 2.0",
-    "mit-line": "Released under the MIT License",
-    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0",
-    "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "apache-2.0-warranty": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
-    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-}
+from graphloom.llm.license_texts import TEMPLATES
+
 K, WINDOW, STRIDE, BANDS = 5, 8, 4, 6
+#: Templates under so many shingles have windows of one shingle. At a containment of 0.8, edits of single words leave longer ones a
+#: run of WINDOW + STRIDE shingles: of n, at most n / 25 edits take 5 each, and 0.8 * n / (n / 25 + 1) >= 12 from 38 on.
+SHORT = 40
 _MARKS = ".,;:!?\"'()[]{}<>#$%&*_-=+/\\|~^`@"
 
 
@@ -40,29 +35,25 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     """docs: doc_id, text. (doc_id, license, containment) where at least `least` of a template's shingles stand in the text.
 
     A text's windows of WINDOW shingles overlap by half; a template's start at every shingle, so a copy of WINDOW + STRIDE
-    shingles or more holds a window equal to one of the template's, which meets it in every band; at similarity s, one of BANDS
-    bands of one minimum meets it with probability 1 - (1 - s)**BANDS. Shorter templates have windows of one shingle. Templates
-    are a parameter, sent to every executor; documents are never shuffled. Null and empty texts match nothing, repeated rows
-    repeat their matches, no rows give no rows.
+    shingles in a row holds a window equal to one of the template's and meets it in every band. That is certain for copies with
+    words changed, put in or left out here and there, as long as they reach `least` = 0.8 (see SHORT); otherwise, at similarity s
+    of two windows, one of BANDS bands of one minimum meets with probability 1 - (1 - s)**BANDS. Templates are a parameter and part
+    of the plan; documents are never shuffled. Null and empty texts match nothing, texts of any length are whole, a null doc_id
+    is kept, repeated rows repeat their matches, a text may match any number of templates; other columns of docs, whatever their
+    names, play no part; no rows give no rows.
     """
     spark = docs.sparkSession
     known = spark.createDataFrame(list(templates.items()), "license string, template string").select("license", F.array_distinct(shingles(F.col("template"))).alias("want"))
-    known = known.withColumn("keys", F.when(F.size("want") < WINDOW + STRIDE, F.col("want")).otherwise(_minhash(F.col("want"), 1)))
-    rows = known.select("license", "want", "keys").collect()  # as many as templates
-    keys = sorted({k for r in rows for k in r["keys"]})
-    all_keys = F.array(*[F.lit(k) for k in keys]).cast("array<bigint>")
-    hashed = docs.select("doc_id", F.explode_outer(F.array(shingles(F.col("text")))).alias("h"))
+    known = known.withColumn("keys", F.when(F.size("want") < SHORT, F.col("want")).otherwise(F.array_distinct(_minhash(F.col("want"), 1))))
+    rows = known.collect()  # as many as templates
+    longs = lambda x: F.array(*[F.lit(k) for k in x]).cast("array<bigint>")
+    held = docs.select("doc_id", F.explode_outer(F.array(shingles(F.col("text")))).alias("h"))
     # windows agree in a band only if their least shingle is one of a template's: a text without any needs no bands
-    wanted = F.array(*[F.lit(x) for x in sorted({x for r in rows for x in r["want"]})]).cast("array<bigint>")
-    hashed = hashed.where(F.arrays_overlap("h", wanted))
-    hit = hashed.select("doc_id", "h", F.explode_outer(F.array(F.array_intersect(all_keys, F.concat("h", F.when(F.size("h") > 0, _minhash(F.col("h"), STRIDE)).otherwise(F.array().cast("array<bigint>")))))).alias("hits")).where(F.size("hits") > 0)
-    # each key leads to the numbers of its templates; a text is then met with those alone
-    of_key: dict[int, list[int]] = {}
-    for n, r in enumerate(rows):
-        for key in set(r["keys"]):
-            of_key.setdefault(key, []).append(n)
+    held = held.where(F.arrays_overlap("h", longs(sorted({x for r in rows for x in r["want"]}))))
+    bands = F.when(F.size("h") > 0, _minhash(F.col("h"), STRIDE)).otherwise(F.array().cast("array<bigint>"))
+    held = held.select("doc_id", "h", F.explode_outer(F.array(F.array_distinct(F.concat("h", bands)))).alias("keys"))
+    every = F.array(*[F.struct(F.lit(n).alias("number"), longs(r["keys"]).alias("keys")) for n, r in enumerate(rows)])
+    met = held.select("doc_id", "h", F.explode(F.transform(F.filter(every, lambda t: F.arrays_overlap(t["keys"], F.col("keys"))), lambda t: t["number"])).alias("number"))
     numbered = spark.createDataFrame([(n, r.license, r["want"]) for n, r in enumerate(rows)], "number int, license string, want array<bigint>")
-    met = hit.select("doc_id", "h", F.explode(F.array_distinct(F.flatten(F.transform("hits", lambda k: F.element_at(F.map_from_entries(F.array(*[F.struct(F.lit(key).cast("long"), F.array(*map(F.lit, v))) for key, v in of_key.items()])), k))))).alias("number"))
-    pairs = met.join(F.broadcast(numbered), "number")
     share = F.size(F.array_intersect("want", "h")) / F.size("want")
-    return pairs.select("doc_id", "license", share.alias("containment")).where(F.col("containment") >= least)
+    return met.join(F.broadcast(numbered), "number").select("doc_id", "license", share.alias("containment")).where(F.col("containment") >= least)

@@ -190,11 +190,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     A page gives its host's slot less the texts of the host's template; where that isn't known, its article, else all. Menus,
     headers, footers, forms and the like are left out by their element; containers whose class, id or role tells of sidebars,
     notices, adverts or comments where the host's pages confirm it. Null or empty html gives an empty text; a null url is a host
-    like others; repeated rows each have their row; no rows give no rows.
+    like others; repeated rows each have their row; other columns, whatever their names, play no part; no rows give no rows.
     """
     small_batches(pages.sparkSession)
     hosts = pages.select(F.approx_count_distinct(host_of(F.col("url")))).first()[0]
     small = F.broadcast if hosts <= BROADCAST_HOSTS else lambda df: df
     known = small(templates(pages, small))
-    joined = pages.withColumn("host", host_of(F.col("url"))).join(known, "host", "left").select("page_id", "url", "html", "main", "noise", "fixed")
+    joined = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(known, "host", "left").select("page_id", "url", "html", "main", "noise", "fixed")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

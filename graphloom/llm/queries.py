@@ -26,7 +26,7 @@ def op5_main_text(spark, sf_dir):
 
 
 def op2_mix_sources(spark, sf_dir):
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "virtual_finish")
 
 
 def op3_near_duplicates(spark, sf_dir):
@@ -37,7 +37,7 @@ def op6_format_chats(spark, sf_dir):
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.digests(chat.format_chats(turns)).drop("valid")
+    return chat.digests(chat.format_chats(turns))
 
 
 def op7_toxicity(spark, sf_dir):
@@ -53,7 +53,34 @@ def op10_decontamination(spark, sf_dir):
 
 
 def op8_secrets(spark, sf_dir):
-    return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("n_live", "n_copied")
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def near_duplicates_sql() -> str:
+    """Shingles as strings, all pairs that share one, and what can be reached over links."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+      s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w),
+      n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+      p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+      l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+      r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.root),
+      c AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
+      SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id, coalesce(c.root, d.doc_id) = d.doc_id AS kept
+      FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
+def licenses_sql() -> str:
+    """Containment of every template in every text, without candidates."""
+    quoted = lambda x: x.replace("'", "''")
+    values = ", ".join(f"('{quoted(k)}', '{quoted(v)}')" for k, v in licenses.TEMPLATES.items())
+    return rf"""WITH t(license, text) AS (VALUES {values}),
+      w AS (SELECT license, NULL::BIGINT AS doc_id, text FROM t UNION ALL SELECT NULL, doc_id, text FROM documents),
+      x AS (SELECT license, doc_id, list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), '{quoted(licenses._MARKS)}', ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM w),
+      s AS (SELECT DISTINCT license, doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM x),
+      n AS (SELECT license, count(*) AS n FROM s WHERE license IS NOT NULL GROUP BY license)
+      SELECT d.doc_id, a.license, count(*)::DOUBLE / max(n.n) AS containment FROM s a JOIN s d ON a.s = d.s AND a.license IS NOT NULL AND d.doc_id IS NOT NULL
+      JOIN n ON n.license = a.license GROUP BY d.doc_id, a.license HAVING count(*)::DOUBLE / max(n.n) >= 0.8"""
 
 
 def llm_queries():
@@ -69,5 +96,9 @@ def llm_oracles() -> dict[str, str]:
           sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
           sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
           sum(12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 11)::BIGINT AS formatted_chars
+          , coalesce(regexp_full_match(string_agg(replace(role, chr(1), '?') || chr(1), '' ORDER BY turn, role, text),
+              '(system' || chr(1) || ')?user' || chr(1) || 'assistant' || chr(1) || '((user|tool)' || chr(1) || 'assistant' || chr(1) || ')*'), false) AS valid
           FROM {turns} GROUP BY conv_id""",
+        "op3_near_duplicates": near_duplicates_sql(),
+        "op4_licenses": licenses_sql(),
     }

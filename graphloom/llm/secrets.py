@@ -116,7 +116,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source", repos
     stay as they are. Spans follow from the text and the corpus, so rows meet theirs by the text's SHA-256, whatever their doc_id."""
     columns = docs.columns
     spans = _judged(docs, owner, repository, copied, forks).where(F.size("every") > 0).select(F.col("sha").alias("_sha"), F.col("every").alias("_spans")).dropDuplicates(["_sha"])
-    marked = docs.withColumn("_sha", F.sha2("text", 256)).join(spans, "_sha", "left").select(*columns, "_spans")
+    marked = docs.select(F.struct(*columns).alias("row"), F.sha2("text", 256).alias("_sha")).join(spans, "_sha", "left").select("row.*", "_spans")
 
     def clean(batches):
         for batch in batches:

@@ -46,10 +46,39 @@ def test_pages(spark):
 def test_licenses(spark):
     long = licenses.TEMPLATES["gpl-notice"]
     df = spark.createDataFrame([(1, "x Released under the MIT License. y"), (2, "a b c " + long.upper() + " d"), (3, None), (4, ""), (5, "nothing of the kind stands here at all")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.license) for r in licenses.scan_licenses(df).collect()) == [(1, "mit-line"), (2, "gpl-notice")]
+    got = {(r.doc_id, r.license): r.containment for r in licenses.scan_licenses(df).collect()}
+    assert got.pop((1, "mit-line")) == got.pop((2, "gpl-notice")) == 1.0
+    assert all(i == 2 and name.endswith("-notice") and share < 1 for (i, name), share in got.items())  # its sisters of other versions
     lines = {"mit-line": "Released under the MIT License.", "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0."}
     got = {(r.doc_id, r.license) for r in queries.op4_licenses(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
         for name, line in lines.items():
             if line in r.text:
                 assert (r.doc_id, name) in got
+
+
+def test_lengths_and_repeated_ids(spark):
+    data = [(20, [1.0, 0.0]), (20, [0.5, 0.0]), (20, [0.5, 0.0]), (3, [2.0, 0.0]), (4, [1.0, 1.0, 1.0]), (40, [1.0, 0.0, 2.0]), (5, [1e200, 0.0]), (60, [9.0, 9.0, 9.0, 9.0]), (None, [1.0, 1.0]), (7, [])]
+    df = spark.createDataFrame([(*r, 1) for r in data], "vec_id long, embedding array<double>, q int")
+    got = sorted(tuple(r) for r in ann.nearest(df, df.where("vec_id % 20 = 0")).collect())
+    one = [(1, 5, 1e200), (2, 3, 2.0), (3, 20, 0.5), (4, 20, 0.5)]
+    two = [(1, 5, 5e199), (2, 3, 1.0), (3, 20, 0.5), (4, 20, 0.25)]
+    assert got == sorted([(20, *x) for x in [*one, *two, *two]] + [(40, 1, 4, 3.0)])
+
+
+def test_recall_over_shards(spark):
+    """Several shards, norms that differ by far, clusters."""
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(300, 1, 24)) + 0.2 * rng.normal(size=(300, 60, 24))).reshape(-1, 24) * rng.lognormal(0, 0.7, (18_000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 300 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for i in range(0, len(x), 300):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & got[i])
+        total += 20
+    print("recall", hits / total)
+    assert hits >= 0.9 * total
