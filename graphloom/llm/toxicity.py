@@ -26,13 +26,17 @@ CLASSES = {**{c: x[0] for c, x in LEET.items() if c != "*"}, "l": "i"}
 _CLASSES = str.maketrans({**CLASSES, **dict.fromkeys(".,;:?\"'()[]{}#%&-_=~^<>/\\`", None)})
 _RUN = re.compile(r"[^\W_]+")
 _AGAIN = re.compile(r"(.)\1+", re.S)
+_AGAIN_IN_LINE = re.compile(r"([^\n])\1+")
+_ACCENTS = re.compile("[\u0300-\u036f]+")
+_PART = re.compile(r"[\W_]+")
+_SPACED = re.compile(r"(?:^|\s)\S\s+\S\s+\S(?!\S)")
 _MARKS = ".,;:?\"'()[]{}#%&-_=~^<>/\\`"
 
 
 def fold(text: str) -> str:
     """Lower case, letters without their accents."""
     text = text.lower()
-    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return text if text.isascii() else _ACCENTS.sub("", unicodedata.normalize("NFKD", text))
 
 
 def skeleton(text: str) -> str:
@@ -45,29 +49,68 @@ def symbol(c: str) -> str:
     return c if "a" <= c <= "z" else "?" if c.isalpha() else "#"
 
 
-def _count(batches):
-    """Trigrams of symbols of the words and numbers of a partition; what mixes the two may be a disguise and teaches nothing."""
-    seen: Counter = Counter()
-    held: Counter = Counter()
-
-    def count():
-        for token, n in held.items():
-            for w in _RUN.findall(fold(token)):
-                if not w.isalpha() and not w.isdecimal():
-                    continue
-                w = w if w.isascii() and w.isalpha() else "".join(map(symbol, w))
-                padded = f"^^{w}$"
-                for i in range(len(padded) - 2):
-                    seen[padded[i : i + 3]] += n
-        held.clear()
+#: Symbols by number: the two ends of a word, a to z, other letters, digits.
+_SYMBOLS = "^abcdefghijklmnopqrstuvwxyz?#$"
+_CODES = np.full(0x110000, -1, dtype=np.int8)
+#: Characters that are counted together.
+STEP_CHARS = 1 << 20
+
+
+def _codes(text: str) -> np.ndarray:
+    """Symbols of a folded text's characters, 0 for what parts words."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    out = _CODES[points]
+    if (out < 0).any():
+        for p in np.unique(points[out < 0]).tolist():
+            c = chr(p)
+            _CODES[p] = 0 if not c.isalnum() else _SYMBOLS.index(symbol(c))
+        out = _CODES[points]
+    return out
+
+
+def trigrams(text: str) -> np.ndarray:
+    """Counts of the trigrams of symbols, by number, over the words and numbers of a folded text; what mixes letters and digits may
+    be a disguise and teaches nothing."""
+    code = np.concatenate([[0], _codes(text), [0]]).astype(np.int64)
+    begin = np.flatnonzero((code[1:] > 0) & (code[:-1] == 0)) + 1
+    if not len(begin):
+        return np.zeros(27_000, dtype=np.int64)
+    digits = np.add.reduceat(code == 28, begin)
+    length = np.flatnonzero((code[1:] == 0) & (code[:-1] > 0)) + 1 - begin
+    mixed = np.flatnonzero((digits > 0) & (digits < length))
+    keep = code > 0
+    for i, n in zip(begin[mixed].tolist(), length[mixed].tolist(), strict=True):
+        keep[i : i + n] = False
+    at = np.flatnonzero(keep)
+    before = code[at - 1]
+    first = np.where(before > 0, code[at - 2], 0)
+    out = np.bincount(first * 900 + before * 30 + code[at], minlength=27_000)
+    end = at[~keep[at + 1]]
+    return out + np.bincount(code[end - 1] * 900 + code[end] * 30 + 29, minlength=27_000)
+
 
+def _count(batches):
+    """Trigrams of a partition."""
+    seen = np.zeros(27_000, dtype=np.int64)
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            held.update((text or "").split())
-        if len(held) >= HELD:
-            count()
-    count()
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
+        held: list[str] = []
+        size = 0
+        for text in [*batch.column(0).to_pylist(), None]:
+            rest = text or ""
+            while len(rest) > STEP_CHARS:
+                cut = max(rest.rfind(" ", 0, STEP_CHARS), rest.rfind("\n", 0, STEP_CHARS))
+                cut = cut if cut > 0 else STEP_CHARS
+                seen += trigrams(fold(rest[:cut]))
+                rest = rest[cut:]
+            held.append(rest)
+            size += len(rest)
+            if size >= STEP_CHARS:
+                seen += trigrams(fold("\n".join(held)))
+                held, size = [], 0
+        seen += trigrams(fold("\n".join(held)))
+    at = np.flatnonzero(seen)
+    grams = [_SYMBOLS[g // 900] + _SYMBOLS[g // 30 % 30] + _SYMBOLS[g % 30] for g in at.tolist()]
+    yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(seen[at])], names=["gram", "n"])
 
 
 def language_model(docs: DataFrame) -> dict[str, float]:
@@ -114,53 +157,57 @@ def _plain(word: str) -> bool:
     return word.isalpha() and not _AGAIN.search(word)
 
 
-def spans(words: list[str], joined: set[str] | None = None) -> list[str]:
-    """What of a folded text's words has to be decoded: words with marks, digits or repeats in them, runs of three and more single
-    characters, and neighbours whose skeletons together are in joined."""
-    out = {w for w in set(words) if not _plain(w) and any(map(str.isalpha, w))}
-    if sum(len(w) == 1 for w in words) > 2:
-        run: list[str] = []
-        for w in [*words, "  "]:
-            if len(w) == 1:
-                run.append(w)
-            else:
-                if len(run) > 2:
-                    out.add(" ".join(run))
-                run = []
-    if joined:
-        for size in (2, 3):
-            for at in range(len(words) - size + 1):
-                if skeleton("".join(words[at : at + size])) in joined:
-                    out.add(" ".join(words[at : at + size]))
-    return sorted(out)
+def runs(words: list[str]) -> list[str]:
+    """Runs of three and more single characters among a text's words."""
+    out, run = [], []
+    for w in [*words, "  "]:
+        if len(w) == 1:
+            run.append(w)
+        else:
+            if len(run) > 2:
+                out.append(" ".join(run))
+            run = []
+    return out
 
 
 def features(text: str, lm: dict[str, float], memo: dict[str, str], only: dict | None = None) -> set[str]:
     """Restored words of a text, and their first 4, 5 and 6 letters where they stand once, twice and three times or more; of these,
-    those in `only`. Without any skeleton of a word in `only`, a text has no path to one and needs no decoding."""
+    those in `only`. Decoded are words with marks, digits or repeats in them, runs of single characters, and neighbours that are
+    pieces of a word in `only`. What can't lead to one in `only`, by its skeleton, isn't looked at."""
     text = fold(text)
     words = text.split()
-    joined: set[str] = set()
-    if only is not None:
-        classes = skeleton(text).split()
-        kinds = set(classes)
-        joined = {a + b for a, b in zip(classes, classes[1:], strict=False)} & only["whole"]
-        joined |= {a + b + c for a, b, c in zip(classes, classes[1:], classes[2:], strict=False) if len(a) < 4 and len(b) < 4} & only["whole"]
-        near = joined or kinds & only["whole"] or "*" in text or sum(len(w) == 1 for w in words) > 2
-        if not near and not any(k[:3] in only["starts"] for k in kinds):
-            return set()
     often = Counter(words)
-    out = Counter({w: n for w, n in often.items() if _plain(w)})
-    for w in spans(words, joined):
+    spans: Counter = Counter()
+    if only is None:
+        near = often
+    else:
+        kinds = list(often)
+        classes = {} if not kinds else dict(zip(kinds, _AGAIN_IN_LINE.sub(r"\1", "\n".join(kinds).translate(_CLASSES)).split("\n"), strict=True))
+        near = {w: often[w] for w, k in classes.items() if _leads(k, only) or not w.isalpha() and _parted(w, only)}
+        if not only["begins"].isdisjoint(classes.values()):
+            line = [classes[w] for w in words]
+            for at in [i for i, k in enumerate(line) if k in only["begins"]]:
+                for size in (2, 3):
+                    if _AGAIN.sub(r"\1", "".join(line[at : at + size])) in only["whole"] and at + size <= len(line):
+                        spans[" ".join(words[at : at + size])] += 1
+    if _SPACED.search(text):
+        for run in runs(words):
+            if only is None or any(k in skeleton(run.replace(" ", "")) for k in only["whole"]):
+                spans[run] += 1
+    out: Counter = Counter()
+    for w, n in near.items():
+        if _plain(w):
+            out[w] += n
+        elif any(map(str.isalpha, w)):
+            spans[w] += n
+    for w, n in spans.items():
         got = memo.get(w)
         if got is None:
-            if only is not None and "*" not in w and " " not in w and not _near(w, only):
-                continue
             got = restore(w, lm)
             if len(memo) < HELD:
                 memo[w] = got
         for x in got.split():
-            out[x] += max(1, often[w])
+            out[x] += n
     heads: Counter = Counter()
     for w, times in out.items():
         if only is None or w[:4] in only["heads"]:
@@ -171,24 +218,36 @@ def features(text: str, lm: dict[str, float], memo: dict[str, str], only: dict |
     return found if only is None else found & only["weights"].keys()
 
 
-def _near(word: str, only: dict) -> bool:
-    """Whether a path of a word, or of its parts between marks, may lead to a feature."""
-    parts = [skeleton(word), *(_RUN.findall(skeleton(re.sub(r"[\W_]+", " ", word))))]
-    return any(k in only["whole"] or k[:3] in only["starts"] for k in parts)
+def _parted(word: str, only: dict) -> bool:
+    """Whether a word has a sign for any vowel, or marks inside it that part it into pieces of which one may lead to a feature."""
+    if "*" in word:
+        return True
+    word = word.strip(_MARKS)
+    return not word.isalnum() and any(_leads(skeleton(x), only) for x in _PART.split(word))
+
 
+def _leads(k: str, only: dict) -> bool:
+    """Whether what has this skeleton may be a word in `only` or have a head in it."""
+    return k in only["whole"] or k[:3] in only["starts"] and any(k.startswith(h) for h in only["starts"][k[:3]])
 
-def wanted(weights: dict[str, float]) -> dict:
-    """What `features` looks for: the weights, the heads of those that are heads, and the skeletons of all."""
+
+def wanted(weights) -> dict:
+    """What `features` looks for: the weights, first letters of heads, skeletons of words and of heads, and beginnings of words."""
     heads = {f.partition("~")[0] for f in weights if "~" in f}
-    return {"weights": weights, "heads": {h[:4] for h in heads}, "whole": {skeleton(f) for f in weights if "~" not in f}, "starts": {skeleton(h)[:3] for h in heads}}
+    whole = {skeleton(f) for f in weights if "~" not in f}
+    starts: dict[str, list[str]] = {}
+    for k in sorted({skeleton(h) for h in heads}):
+        starts.setdefault(k[:3], []).append(k)
+    return {"weights": weights, "heads": {h[:4] for h in heads}, "whole": whole, "starts": starts, "begins": {k[:n] for k in whole for n in range(2, len(k))}}
 
 
-def _count_features(lm: dict[str, float]):
+def _count_features(lm: dict[str, float], names: list[str] | None = None):
     """For mapInArrow over (text, toxic): in how many rows of each label a feature is; the empty feature is in all."""
 
     def run(batches):
         memo: dict[str, str] = {}
         seen = [Counter(), Counter()]
+        only = None if names is None else wanted(dict.fromkeys(names))
 
         def counted():
             keys = list(seen[0].keys() | seen[1].keys())
@@ -196,7 +255,7 @@ def _count_features(lm: dict[str, float]):
 
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update(features(text or "", lm, memo))
+                seen[y].update(features(text or "", lm, memo, only))
                 seen[y][""] += 1
                 if len(seen[0]) + len(seen[1]) >= HELD:
                     yield counted()
@@ -206,7 +265,38 @@ def _count_features(lm: dict[str, float]):
     return run
 
 
-def telling(counts: DataFrame) -> list[str]:
+def counted(known: DataFrame, lm: dict[str, float], names: list[str] | None = None) -> DataFrame:
+    counts = known.mapInArrow(_count_features(lm, names), "feature string, clean long, toxic long")
+    return staged(counts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic >= 3 OR feature = ''"), "features")
+
+
+def _plain_counts(batches):
+    """For mapInArrow over (text): in how many rows a word without any disguise, or a head of such words, is; the empty word is in all."""
+    for batch in batches:
+        seen: Counter = Counter()
+        for text in batch.column(0).to_pylist():
+            words = Counter(w for w in fold(text or "").split() if w.isalpha())
+            heads: Counter = Counter()
+            for w, times in words.items():
+                for n in (4, 5, 6):
+                    if len(w) > n and not _AGAIN.search(w):
+                        heads[w[:n]] += times
+            seen.update(w for w in words if not _AGAIN.search(w))
+            seen.update(f"{h}~{i}" for h, times in heads.items() for i in range(1, min(3, times) + 1))
+            seen[""] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["feature", "n"])
+
+
+def candidates(known: DataFrame, lm: dict[str, float]) -> tuple[list[str], float]:
+    """Features that may tell, and the number that all features of toxic rows are held against. Toxic rows are decoded; clean ones
+    are counted without, which can only make a feature seem more telling than it is."""
+    toxic = known.where("toxic = 1").mapInArrow(_count_features(lm), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("toxic").alias("toxic")).where("toxic >= 3 OR feature = ''")
+    clean = known.where("toxic = 0").select("text").mapInArrow(_plain_counts, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("clean"))
+    seen = staged(toxic.join(clean, "feature", "left").select("feature", F.coalesce("clean", F.lit(0)).alias("clean"), "toxic"), "candidates")
+    return telling(seen), float(seen.count())
+
+
+def telling(counts: DataFrame, among: float | None = None) -> list[str]:
     """The features, out of (feature, clean, toxic), that mark the toxic label by more than chance. Their number is bounded by the
     words of FIT_ROWS rows."""
     total = counts.where("feature = ''").first()
@@ -222,7 +312,7 @@ def telling(counts: DataFrame) -> list[str]:
     # log likelihood ratio of the feature's own rate of toxic documents against the rate of all; chance stays under the bar
     gain = term(F.col("toxic"), rate) + term(F.col("clean"), 1 - rate)
     often = counts.where("feature <> '' AND toxic >= 3").withColumn("odds", odds).withColumn("gain", gain)
-    bar = float(np.log(max(1, often.count())) + 1)
+    bar = float(np.log(among or max(1, often.count())) + 1)
     return sorted(r.feature for r in often.where((F.col("odds") > 1.5) & (F.col("gain") > bar)).select("feature").collect())
 
 
@@ -270,9 +360,10 @@ def _held(lm: dict[str, float], names: list[str]):
 
     def run(batches):
         memo: dict[str, str] = {}
-        only = wanted({f: float(i) for i, f in enumerate(names)})
+        number = {f: i for i, f in enumerate(names)}
+        only = wanted(number)
         for batch in batches:
-            found = [sorted(int(only["weights"][f]) for f in features(t or "", lm, memo, only)) for t in batch.column(0).to_pylist()]
+            found = [sorted(number[f] for f in features(t or "", lm, memo, only)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["y", "x"])
 
     return run
@@ -281,13 +372,13 @@ def _held(lm: dict[str, float], names: list[str]):
 def fit(known: DataFrame, lm: dict[str, float]) -> tuple[dict[str, float], float]:
     """Weights of features and bias from known: (text, toxic). Features are counted and chosen where the rows are; the driver gets
     the rows' numbers of features, of which there are no more than of rows."""
-    counts = known.mapInArrow(_count_features(lm), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = staged(counts.where("toxic >= 3 OR feature = ''"), "features")
-    names = telling(counts)
+    some, among = candidates(known, lm)
+    counts = counted(known, lm, some) if some else known.groupBy().agg(F.lit("").alias("feature"), F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
+    names = telling(counts, among) if some else []
     if not names:
         # without evidence of its own no text is toxic, whatever the labels' rate
         total = counts.where("feature = ''").first()
-        return {}, -2.0 if total is None else float(min(-2.0, np.log((total.toxic + 0.2) / (total.clean + 0.2))))
+        return {}, -2.0 if total is None or total.toxic is None else float(min(-2.0, np.log((total.toxic + 0.2) / (total.clean + 0.2))))
     rows = known.mapInArrow(_held(lm, names), "y int, x array<int>").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").collect()
     x = np.zeros((len(rows), len(names)))
     for i, r in enumerate(rows):
