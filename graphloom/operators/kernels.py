@@ -16,28 +16,52 @@ def neighbours(n: int, edges: set[Edge]) -> list[set[int]]:
 
 
 def order(n: int, edges: set[Edge], method: str = "BFS") -> list[int]:
-    """BFS, DFS, BFSAC or BFSDC from a node of largest degree (ties: least id); nodes out of reach follow by id."""
+    """BFS and DFS start at a node of largest degree (ties: least id); nodes out of reach follow by id. BFSAC takes, of the frontier,
+    the node with fewest edges to nodes taken, then of largest degree; BFSDC the one with most, then of least degree; ties go to the
+    one that came up first. Both choose the first node of every component by the same rule, ties by id."""
+    near = neighbours(n, edges)
+    if method in ("BFSAC", "BFSDC"):
+        return _by_cut(n, near, 1 if method == "BFSAC" else -1)
     if n == 0:
         return []
-    near = neighbours(n, edges)
     start = min(range(n), key=lambda i: (-len(near[i]), i))
-    seen, out, frontier = {start}, [], [start]
-    while frontier:
-        if method == "BFS":
-            i = frontier.pop(0)
-        elif method == "DFS":
+    seen, out, frontier = [False] * n, [], [start]
+    if method == "BFS":
+        seen[start] = True
+        for i in frontier:
+            fresh = sorted(j for j in near[i] if not seen[j])
+            for j in fresh:
+                seen[j] = True
+            frontier += fresh
+        out = frontier
+    else:
+        while frontier:
             i = frontier.pop()
-        else:
-            sign = 1 if method == "BFSAC" else -1
-            i = min(frontier, key=lambda x: (sign * len(near[x] & set(out)), -sign * len(near[x]), x))
+            if not seen[i]:
+                seen[i] = True
+                out.append(i)
+                frontier += sorted((j for j in near[i] if not seen[j]), reverse=True)
+    return out + [i for i in range(n) if not seen[i]]
+
+
+def _by_cut(n: int, near: list[set[int]], sign: int) -> list[int]:
+    cut, taken, out = [0] * n, [False] * n, []
+    while len(out) < n:
+        # a component's first node: none of the rest has an edge to a node taken
+        frontier = [min((i for i in range(n) if not taken[i]), key=lambda i: (-sign * len(near[i]), i))]
+        known = set(frontier)
+        while frontier:
+            i = min(frontier, key=lambda x: (sign * cut[x], -sign * len(near[x])))
             frontier.remove(i)
-        if i in out:
-            continue
-        out.append(i)
-        fresh = sorted((j for j in near[i] if j not in seen or method == "DFS" and j not in out), reverse=method == "DFS")
-        seen.update(fresh)
-        frontier += fresh
-    return out + [i for i in range(n) if i not in set(out)]
+            taken[i] = True
+            out.append(i)
+            for j in sorted(near[i]):
+                if not taken[j]:
+                    cut[j] += 1
+                    if j not in known:
+                        known.add(j)
+                        frontier.append(j)
+    return out
 
 
 def spectral_histogram(n: int, edges: set[Edge], bins: int = 200) -> np.ndarray:
