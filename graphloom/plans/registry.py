@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.plans.collections import COLLECTIONS
+
 GRAPHS = """
 ev AS (SELECT user_id, CAST(ts AS DATE) AS d, event_type, event_id, ts FROM events),
 side AS (SELECT DISTINCT user_id, d, CASE WHEN d < DATE '2024-01-16' THEN 'ref' ELSE 'gen' END AS side FROM ev),
@@ -88,7 +90,7 @@ SQL: dict[str, str] = {
     "back_edges": f"""WITH {USER}, o AS (SELECT user_id, v, row_number() OVER (PARTITION BY user_id ORDER BY deg DESC, v) AS pos FROM udeg)
       SELECT a.user_id, a.v AS node, b.v AS target, CAST(b.pos AS BIGINT) AS target_pos FROM both_ways e JOIN o a ON a.user_id = e.user_id AND a.v = e.u JOIN o b ON b.user_id = e.user_id AND b.v = e.v WHERE b.pos < a.pos""",
     "valence_rollup": f"""WITH {USER} SELECT v AS node, CASE WHEN deg > 6 THEN 'over' ELSE 'ok' END AS role, count(*) AS n FROM udeg GROUP BY GROUPING SETS ((v, CASE WHEN deg > 6 THEN 'over' ELSE 'ok' END), (CASE WHEN deg > 6 THEN 'over' ELSE 'ok' END), ())""",
-    "compare_tv_kl": f"WITH {_SIDES} SELECT round(0.5 * sum(abs(p - q)), 9) AS tv, round(sum(p * ln((p + CAST(1e-10 AS DOUBLE)) / (q + CAST(1e-10 AS DOUBLE)))), 9) AS kl FROM pq",
+    "compare_tv_kl": f"WITH {_SIDES} SELECT round(0.5 * sum(abs(p - q)), 9) AS tv, round(sum((p + CAST(1e-10 AS DOUBLE)) * ln((p + CAST(1e-10 AS DOUBLE)) / (q + CAST(1e-10 AS DOUBLE)))), 9) AS kl FROM pq",
     "addone_kl": f"WITH {_SIDES} SELECT round(sum(q1 * ln(q1 / p1)), 9) AS kl FROM pq",
     "freq_cosine": f"WITH {_SIDES} SELECT round(sum(r * g) / ((sqrt(sum(r * r)) + CAST(1e-10 AS DOUBLE)) * (sqrt(sum(g * g)) + CAST(1e-10 AS DOUBLE))), 9) AS cosine FROM pq",
     "freq_l2": f"WITH {_SIDES} SELECT round(sqrt(sum((p - q) * (p - q))), 9) AS l2 FROM pq",
@@ -129,11 +131,13 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, sf_dir, SQL["degree_mmd"])
+    return COLLECTIONS["degree_mmd"](spark, sf_dir)
 
 
 def relational_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, text=text: run_sql(spark, sf_dir, text) for name, text in SQL.items()}
+    """DataFrame operators where there are any; the rest is one declarative text each."""
+    texts = {name: lambda spark, sf_dir, text=text: run_sql(spark, sf_dir, text) for name, text in SQL.items()}
+    return {**texts, **COLLECTIONS}
 
 
 def relational_oracles() -> dict[str, str]:
