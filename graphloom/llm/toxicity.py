@@ -183,12 +183,17 @@ def features(text: str, lm: dict[str, float], memo: dict[str, str], only: dict |
     else:
         kinds = list(often)
         classes = {} if not kinds else dict(zip(kinds, _AGAIN_IN_LINE.sub(r"\1", "\n".join(kinds).translate(_CLASSES)).split("\n"), strict=True))
-        near = {w: often[w] for w, k in classes.items() if _leads(k, only) or not w.isalpha() and _parted(w, only)}
-        if not only["begins"].isdisjoint(classes.values()):
+        whole, starts, begins = only["whole"], only["starts"], only["begins"]
+        near = {w: often[w] for w, k in classes.items() if k in whole or k[:3] in starts and _leads(k, only) or not w.isalpha() and _parted(w, only)}
+        if not begins.isdisjoint(classes.values()):
             line = [classes[w] for w in words]
-            for at in [i for i, k in enumerate(line) if k in only["begins"]]:
+            for at in [i for i, k in enumerate(line) if k in begins]:
+                glued = line[at]
                 for size in (2, 3):
-                    if _AGAIN.sub(r"\1", "".join(line[at : at + size])) in only["whole"] and at + size <= len(line):
+                    if glued not in begins or at + size > len(line):
+                        break
+                    glued = _glue(glued, line[at + size - 1])
+                    if glued in whole:
                         spans[" ".join(words[at : at + size])] += 1
     if _SPACED.search(text):
         for run in runs(words):
@@ -218,6 +223,11 @@ def features(text: str, lm: dict[str, float], memo: dict[str, str], only: dict |
     return found if only is None else found & only["weights"].keys()
 
 
+def _glue(a: str, b: str) -> str:
+    """The skeleton of two pieces together."""
+    return a + b[1:] if a[-1:] == b[:1] else a + b
+
+
 def _parted(word: str, only: dict) -> bool:
     """Whether a word has a sign for any vowel, or marks inside it that part it into pieces of which one may lead to a feature."""
     if "*" in word:
