@@ -251,13 +251,12 @@ def wanted(weights) -> dict:
     return {"weights": weights, "heads": {h[:4] for h in heads}, "whole": whole, "starts": starts, "begins": {k[:n] for k in whole for n in range(2, len(k))}}
 
 
-def _count_features(lm: dict[str, float], names: list[str] | None = None):
+def _count_features(lm: dict[str, float]):
     """For mapInArrow over (text, toxic): in how many rows of each label a feature is; the empty feature is in all."""
 
     def run(batches):
         memo: dict[str, str] = {}
         seen = [Counter(), Counter()]
-        only = None if names is None else wanted(dict.fromkeys(names))
 
         def counted():
             keys = list(seen[0].keys() | seen[1].keys())
@@ -265,7 +264,7 @@ def _count_features(lm: dict[str, float], names: list[str] | None = None):
 
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update(features(text or "", lm, memo, only))
+                seen[y].update(features(text or "", lm, memo))
                 seen[y][""] += 1
                 if len(seen[0]) + len(seen[1]) >= HELD:
                     yield counted()
@@ -275,11 +274,6 @@ def _count_features(lm: dict[str, float], names: list[str] | None = None):
     return run
 
 
-def counted(known: DataFrame, lm: dict[str, float], names: list[str] | None = None) -> DataFrame:
-    counts = known.mapInArrow(_count_features(lm, names), "feature string, clean long, toxic long")
-    return staged(counts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic >= 3 OR feature = ''"), "features")
-
-
 def _plain_counts(batches):
     """For mapInArrow over (text): in how many rows a word without any disguise, or a head of such words, is; the empty word is in all."""
     for batch in batches:
@@ -383,16 +377,23 @@ def fit(known: DataFrame, lm: dict[str, float]) -> tuple[dict[str, float], float
     """Weights of features and bias from known: (text, toxic). Features are counted and chosen where the rows are; the driver gets
     the rows' numbers of features, of which there are no more than of rows."""
     some, among = candidates(known, lm)
-    counts = counted(known, lm, some) if some else known.groupBy().agg(F.lit("").alias("feature"), F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
-    names = telling(counts, among) if some else []
+    total = known.groupBy().agg(F.lit("").alias("feature"), F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
+    names: list[str] = []
+    if some:
+        # each row's candidates are found once, then counted and, of those that tell, weighed
+        found = staged(known.mapInArrow(_held(lm, some), "y int, x array<int>"), "found")
+        each = found.select("y", F.explode("x").alias("f")).groupBy(F.get(F.array(*map(F.lit, some)), F.col("f")).alias("feature"))
+        counts = staged(total.unionByName(each.agg(F.sum(1 - F.col("y")).alias("clean"), F.sum("y").alias("toxic"))), "features")
+        names = telling(counts, among)
     if not names:
         # without evidence of its own no text is toxic, whatever the labels' rate
-        total = counts.where("feature = ''").first()
-        return {}, -2.0 if total is None or total.toxic is None else float(min(-2.0, np.log((total.toxic + 0.2) / (total.clean + 0.2))))
-    rows = known.mapInArrow(_held(lm, names), "y int, x array<int>").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").collect()
+        n = total.first()
+        return {}, -2.0 if n is None or n.toxic is None else float(min(-2.0, np.log((n.toxic + 0.2) / (n.clean + 0.2))))
+    place = {some.index(f): i for i, f in enumerate(names)}
+    rows = found.select(F.filter("x", lambda f: f.isin(list(place))).alias("x"), "y").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").collect()
     x = np.zeros((len(rows), len(names)))
     for i, r in enumerate(rows):
-        x[i, r.x] = 1
+        x[i, [place[f] for f in r.x]] = 1
     w = logistic(x, np.array([r.y for r in rows], dtype=float), np.array([r.n for r in rows], dtype=float))
     return dict(zip(names, w[:-1].tolist(), strict=True)), float(w[-1])
 
