@@ -29,7 +29,6 @@ _AGAIN = re.compile(r"(.)\1+", re.S)
 _AGAIN_IN_LINE = re.compile(r"([^\n])\1+")
 _ACCENTS = re.compile("[\u0300-\u036f]+")
 _PART = re.compile(r"[\W_]+")
-_SPACED = re.compile(r"(?:^|\s)\S\s+\S\s+\S(?!\S)")
 _MARKS = ".,;:?\"'()[]{}#%&-_=~^<>/\\`"
 
 
@@ -126,6 +125,9 @@ def language_model(docs: DataFrame) -> dict[str, float]:
 def restore(span: str, lm: dict[str, float]) -> str:
     """Viterbi over the lattice of a folded span's characters. Each is itself or what it may stand for; a repeat may be dropped; a
     mark is dropped, at no cost at the span's ends, or parts two words if it is no sign for a letter; spaces are marks, too."""
+    core = span.strip(_MARKS)
+    if _plain(core):
+        return core  # the lattice has one path: marks at the ends are dropped at no cost, letters are themselves
     beam = {("^", "^"): (0.0, "")}
     ends = (len(span) - len(span.lstrip(_MARKS + "!")), len(span.rstrip(_MARKS + "!")))
     before = ""
@@ -181,21 +183,20 @@ def features(text: str, lm: dict[str, float], memo: dict[str, str], only: dict |
     if only is None:
         near = often
     else:
-        kinds = list(often)
-        classes = {} if not kinds else dict(zip(kinds, _AGAIN_IN_LINE.sub(r"\1", "\n".join(kinds).translate(_CLASSES)).split("\n"), strict=True))
-        whole, starts, begins = only["whole"], only["starts"], only["begins"]
-        near = {w: often[w] for w, k in classes.items() if k in whole or k[:3] in starts and _leads(k, only) or not w.isalpha() and _parted(w, only)}
-        if not begins.isdisjoint(classes.values()):
-            line = [classes[w] for w in words]
-            for at in [i for i, k in enumerate(line) if k in begins]:
-                glued = line[at]
+        kinds = only["kinds"]
+        kinds.take(often, only)
+        classes, begins = kinds.classes, only["begins"]
+        near = {w: often[w] for w in often.keys() & kinds.near}
+        if not kinds.begin.isdisjoint(often):
+            for at in [i for i, w in enumerate(words) if w in kinds.begin]:
+                glued = classes[words[at]]
                 for size in (2, 3):
-                    if glued not in begins or at + size > len(line):
+                    if glued not in begins or at + size > len(words):
                         break
-                    glued = _glue(glued, line[at + size - 1])
-                    if glued in whole:
+                    glued = _glue(glued, classes[words[at + size - 1]])
+                    if glued in only["whole"]:
                         spans[" ".join(words[at : at + size])] += 1
-    if _SPACED.search(text):
+    if b"\1\1\1" in bytes(map((1).__eq__, map(len, words))):
         for run in runs(words):
             if only is None or any(k in skeleton(run.replace(" ", "")) for k in only["whole"]):
                 spans[run] += 1
@@ -229,10 +230,12 @@ def _glue(a: str, b: str) -> str:
 
 
 def _parted(word: str, only: dict) -> bool:
-    """Whether a word has a sign for any vowel, or marks inside it that part it into pieces of which one may lead to a feature."""
-    if "*" in word:
-        return True
+    """Whether a word has a sign for any vowel after what may begin a feature, or marks inside it that part it into pieces of which
+    one may lead to a feature."""
     word = word.strip(_MARKS)
+    if "*" in word:
+        begin = skeleton(word).partition("*")[0]
+        return not word.replace("*", "").isalpha() or begin in only["opens"] or _leads(begin, only)
     return not word.isalnum() and any(_leads(skeleton(x), only) for x in _PART.split(word))
 
 
@@ -241,14 +244,46 @@ def _leads(k: str, only: dict) -> bool:
     return k in only["whole"] or k[:3] in only["starts"] and any(k.startswith(h) for h in only["starts"][k[:3]])
 
 
+class Kinds:
+    """What a task has learnt of words: their skeletons, which of them may lead to a feature and which begin one.
+    It is forgotten where it would hold more than HELD words or some 4 * STEP_CHARS characters of them, so no result depends on it."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self):
+        self.classes: dict[str, str] = {}
+        self.near: set[str] = set()
+        self.begin: set[str] = set()
+        self.chars = 0
+
+    def take(self, words: Counter, only: dict):
+        new = [w for w in words if w not in self.classes]
+        if not new:
+            return
+        if len(self.classes) > HELD or self.chars > 4 * STEP_CHARS:
+            self.forget()
+            new = list(words)
+        lines = "\n".join(new)
+        self.chars += len(lines)
+        whole, starts, begins = only["whole"], only["starts"], only["begins"]
+        for w, k in zip(new, _AGAIN_IN_LINE.sub(r"\1", lines.translate(_CLASSES)).split("\n"), strict=True):
+            self.classes[w] = k
+            if k in whole or k[:3] in starts and _leads(k, only) or not w.isalpha() and _parted(w, only):
+                self.near.add(w)
+            if k in begins:
+                self.begin.add(w)
+
+
 def wanted(weights) -> dict:
     """What `features` looks for: the weights, first letters of heads, skeletons of words and of heads, and beginnings of words."""
     heads = {f.partition("~")[0] for f in weights if "~" in f}
     whole = {skeleton(f) for f in weights if "~" not in f}
+    opens = {k[:n] for k in whole | {skeleton(h) for h in heads} for n in range(len(k) + 1)}
     starts: dict[str, list[str]] = {}
     for k in sorted({skeleton(h) for h in heads}):
         starts.setdefault(k[:3], []).append(k)
-    return {"weights": weights, "heads": {h[:4] for h in heads}, "whole": whole, "starts": starts, "begins": {k[:n] for k in whole for n in range(2, len(k))}}
+    return {"kinds": Kinds(), "weights": weights, "heads": {h[:4] for h in heads}, "whole": whole, "starts": starts, "opens": opens, "begins": {k[:n] for k in whole for n in range(2, len(k))}}
 
 
 def _count_features(lm: dict[str, float]):
