@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, chat, decontam, licenses, mixing, neardup, pages, repeats, secrets, toxicity
+from graphloom.llm import align, ann, chat, clusters, decontam, licenses, mixing, neardup, pages, repeats, secrets, shards, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op8_secrets(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_ball_kmeans(spark, sf_dir):
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_virtual_slots(spark, sf_dir):
+    return shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_align_tokenizers(spark, sf_dir):
+    return align.align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 def near_duplicates_sql() -> str:
     """Shingles as strings, all pairs that share one, and what can be reached over links."""
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -101,4 +113,5 @@ def llm_oracles() -> dict[str, str]:
           FROM {turns} GROUP BY conv_id""",
         "op3_near_duplicates": near_duplicates_sql(),
         "op4_licenses": licenses_sql(),
+        "op11_ball_kmeans": clusters.clusters_sql(),
     }
