@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 STRIPES = 1000
 #: Segments of texts that a chunk of rows holds, but for a longer single text; bytes of segments that a task remembers.
 #: STEP: characters that are cut and encoded together.
-CHUNK, REMEMBERED, STEP = 1_000_000, 1 << 26, 1 << 20
+CHUNK, REMEMBERED, STEP = 1_000_000, 1 << 27, 1 << 21
 #: Cells that one task counts or answers for a stripe; a stripe with more is dealt to several tasks first.
 CELLS = 1 << 28
 
@@ -40,6 +42,27 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] numbers), start[1], ..."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
+@dataclass
+class Aligned:
+    """Arrays over segments: whether they tell anything, tokens on either side, groups, links; links' ids, one segment after the
+    other; groups as text, each ended by a semicolon."""
+
+    ok: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    link_a: np.ndarray
+    link_b: np.ndarray
+    groups: list[bytes]
+
+
 class Pair:
     """The two tokenizers in one process, and what they make of a segment."""
 
@@ -62,37 +85,63 @@ class Pair:
         if any("▁" in n.lstrip("▁") for n in names):
             raise ValueError("a piece reaches over a space, so texts can't be cut at spaces")
         self.bytes_b = [bytes([int(n[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", n) else n.replace("▁", " ").encode() for n in names]
-
-    def segments(self, segments: list[str]) -> list[tuple]:
-        """Of each segment, which begins with a space: (n_a, n_b, n_groups, links as A ids and B ids, groups as text), or None if
-        either side's bytes aren't the segment's."""
-        ids_a = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
-        ids_b = self.b.encode([s[1:] for s in segments], num_threads=1)
-        return [self._align(s.encode(), a, b) for s, a, b in zip(segments, ids_a, ids_b, strict=True)]
-
-    def _align(self, raw: bytes, a: list[int], b: list[int]) -> tuple | None:
-        if b"".join([self.bytes_a[k] for k in a]) != raw or b"".join([self.bytes_b[k] for k in b]) != raw:
-            return None
-        la, lb, groups = [], [], []
-        i = j = at_i = at_j = 0  # first tokens of the group
-        end_a, end_b = len(self.bytes_a[a[0]]), len(self.bytes_b[b[0]])
-        while True:
-            la.append(a[i])
-            lb.append(b[j])
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[at_i : i + 1])) + "|" + ",".join(map(str, b[at_j : j + 1])))
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                at_i, at_j = i, j
-                end_a, end_b = end_a + len(self.bytes_a[a[i]]), end_b + len(self.bytes_b[b[j]])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(self.bytes_a[a[i]])
-            else:
-                j += 1
-                end_b += len(self.bytes_b[b[j]])
-        return len(a), len(b), len(groups), la, lb, ";".join(groups)
+        self.size, self.start, self.bytes = zip(*[self._flat(t) for t in (self.bytes_a, self.bytes_b)], strict=True)
+        most = max(self.n_a, self.n_b)
+        self.digits = np.char.str_len(np.arange(most).astype(str)).astype(np.int64)
+        self.decimal = np.frombuffer("".join(str(k).ljust(6) for k in range(most)).encode(), np.uint8)
+
+    @staticmethod
+    def _flat(table: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.array([len(x) for x in table], dtype=np.int64)
+        return size, np.cumsum(size) - size, np.frombuffer(b"".join(table), np.uint8)
+
+    def segments(self, segments: list[str]) -> Aligned:
+        """What each segment, which begins with a space, tells. One without its own bytes on either side tells nothing (ok)."""
+        raw = [s.encode() for s in segments]
+        ids = ([e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)], self.b.encode([s[1:] for s in segments], num_threads=1))
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        flat = [np.fromiter(itertools.chain.from_iterable(x), np.int64) for x in ids]
+        of = [np.repeat(np.arange(len(raw)), np.fromiter(map(len, x), np.int64, len(raw))) for x in ids]
+        ok = np.ones(len(raw), dtype=bool)
+        for side in (0, 1):
+            ok &= np.bincount(of[side], weights=self.size[side][flat[side]], minlength=len(raw)) == size
+        text = np.frombuffer(b"".join(itertools.compress(raw, ok)), np.uint8)
+        where = np.repeat(np.flatnonzero(ok), size[ok])
+        right = ok.copy()
+        for side in (0, 1):
+            tokens = flat[side][ok[of[side]]]
+            told = self.bytes[side][ragged(self.start[side][tokens], self.size[side][tokens])]
+            right[where[told != text]] = False
+        flat, of = zip(*[(f[right[o]], o[right[o]]) for f, o in zip(flat, of, strict=True)], strict=True)
+        return self._aligned(right, size, flat, of)
+
+    def _aligned(self, ok: np.ndarray, size: np.ndarray, flat, of) -> Aligned:
+        """Both sides' token ends cut the bytes of all segments into pieces. A piece lies in one token of either side and no two
+        pieces lie in the same two, so pieces are links; a piece that ends with both sides ends a group."""
+        mark = np.zeros(int(size[ok].sum()) + 1, dtype=np.uint8)
+        for side in (0, 1):
+            mark[np.cumsum(self.size[side][flat[side]])] |= 1 + side
+        kind = mark[np.flatnonzero(mark)]
+        ends = kind == 3
+        group = np.cumsum(ends) - ends
+        at = [np.cumsum(kind & bit > 0) - (kind & bit > 0) for bit in (1, 2)]
+        links = [flat[side][at[side]] for side in (0, 1)]
+        seg = of[0][at[0]]
+        n = [np.bincount(x, minlength=len(ok)) for x in (of[0], of[1], seg[ends], seg)]
+        told = np.concatenate([group[kind & bit > 0] * 2 + side for side, bit in ((0, 1), (1, 2))])
+        order = np.argsort(told, kind="stable")
+        last = np.concatenate([ends[kind & bit > 0] for bit in (1, 2)])
+        mark_ = np.concatenate([np.where(last[: len(flat[0])], ord("|"), ord(",")), np.where(last[len(flat[0]) :], ord(";"), ord(","))])[order]
+        number = np.concatenate(flat)[order]
+        width = self.digits[number]
+        text = np.empty(int((width + 1).sum()), dtype=np.uint8)
+        after = np.cumsum(width + 1)
+        text[ragged(after - width - 1, width)] = self.decimal[ragged(number * 6, width)]
+        text[after - 1] = mark_
+        owner = np.concatenate(of)[order]
+        cut = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=width + 1, minlength=len(ok)).astype(np.int64))]).tolist()
+        text = text.tobytes()
+        return Aligned(ok, *n, links[0], links[1], [text[x:y] for x, y in itertools.pairwise(cut)])
 
 
 @functools.lru_cache(maxsize=2)
@@ -105,41 +154,48 @@ def _pack(x: np.ndarray) -> bytes:
 
 
 class _Chunk:
-    """Rows of a task until they hold CHUNK segments: each segment once, each cell (pair of ids) once, in the order of stripes."""
+    """Rows of a task until they hold CHUNK segments: each segment once, each cell (pair of ids) once, in the order of stripes.
+
+    Segments that the task has met are numbered; arrays by number tell what they hold, up to REMEMBERED bytes of them, then the
+    task starts anew with its next chunk."""
 
     def __init__(self, pair: Pair, stripes: int):
-        self.pair, self.stripes, self.memo, self.held = pair, stripes, {}, 0
+        self.pair, self.stripes = pair, stripes
+        self._forget()
         self._clear()
 
+    def _forget(self):
+        self.number_of: dict[str, int] = {}
+        self.told: list[Aligned] = []
+        self.groups: list[bytes] = []
+        self.counts = np.zeros((5, 0), dtype=np.int64)
+        self.held = 0
+
     def _clear(self):
-        self.place: dict[str, int] = {}
-        self.known: list[tuple] = []
         self.rows: list[tuple] = []
         self.count = 0
 
     def add(self, ids: list, texts: list[str | None]) -> None:
         cut = [_CUT.split(" " + t) if t else [] for t in texts]
-        fresh = list(dict.fromkeys(s for segs in cut for s in segs if s not in self.memo))
-        if self.held > REMEMBERED:
-            fresh, self.memo, self.held = list(dict.fromkeys(s for segs in cut for s in segs)), {}, 0
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            self.memo.update(zip(part, self.pair.segments(part), strict=True))
-        self.held += sum(len(s) * 8 + 300 for s in fresh)
+        fresh = [s for s in dict.fromkeys(itertools.chain.from_iterable(cut)) if s not in self.number_of]
+        for at in range(0, len(fresh), 8192):
+            part = fresh[at : at + 8192]
+            told = self.pair.segments(part)
+            self.number_of.update(zip(part, range(len(self.groups), len(self.groups) + len(part)), strict=True))
+            self.groups += told.groups
+            self.told.append(told)
+            self.held += sum(map(len, part)) * 8 + 300 * len(part)
+        if fresh:
+            whole = [self.counts, *(np.stack([t.ok, t.n_a, t.n_b, t.n_groups, t.n_links]) for t in self.told[-(-(-len(fresh) // 8192)) :])]
+            self.counts = np.concatenate(whole, axis=1)
         for doc, segs in zip(ids, cut, strict=True):
-            told = [self.memo[s] for s in segs]
-            if not segs or any(t is None for t in told):
-                self.rows.append((doc, 0, 0, 0, 0, "", np.zeros(0, np.int32)))
+            place = np.fromiter(map(self.number_of.__getitem__, segs), np.int64, len(segs))
+            ok, *n = self.counts[:, place]
+            if not segs or not ok.all():
+                self.rows.append((doc, 0, 0, 0, 0, "", place[:0]))
                 continue
-            place = []
-            for s, t in zip(segs, told, strict=True):
-                p = self.place.get(s)
-                if p is None:
-                    p = self.place[s] = len(self.known)
-                    self.known.append(t)
-                place.append(p)
-            digest = hashlib.sha256(";".join([t[5] for t in told]).encode()).hexdigest()
-            self.rows.append((doc, sum([t[0] for t in told]), sum([t[1] for t in told]), sum([t[2] for t in told]), sum([len(t[3]) for t in told]), digest, np.array(place, np.int32)))
+            digest = hashlib.sha256(b"".join(map(self.groups.__getitem__, place.tolist()))[:-1]).hexdigest()
+            self.rows.append((doc, *[int(x.sum()) for x in n], digest, place))
             self.count += len(segs)
 
     def flush(self) -> Iterator[dict]:
@@ -147,16 +203,21 @@ class _Chunk:
         if not self.rows:
             return
         name = self.name()
-        sizes = np.array([len(t[3]) for t in self.known], dtype=np.int64)
-        a = np.fromiter((x for t in self.known for x in t[3]), dtype=np.int64, count=int(sizes.sum()))
-        b = np.fromiter((x for t in self.known for x in t[4]), dtype=np.int64, count=int(sizes.sum()))
+        every = np.concatenate([row[6] for row in self.rows])
+        used, n_used = np.unique(every, return_counts=True)
+        often = np.argsort(-n_used, kind="stable")  # frequent segments get small numbers, which compress well
+        used, n_used = used[often], n_used[often]
+        number = np.zeros(len(self.groups), dtype=np.int32)
+        number[used] = np.arange(len(used))
+        every_size = self.counts[4]
+        link_a, link_b = (np.concatenate([getattr(t, x) for t in self.told] or [every]) for x in ("link_a", "link_b"))
+        sizes = every_size[used]
+        at = ragged((np.cumsum(every_size) - every_size)[used], sizes)
+        a, b = link_a[at], link_b[at]
         width = -(-self.pair.n_b // self.stripes)
         code = ((b % self.stripes) * width + b // self.stripes) * self.pair.n_a + a
         cells, where = np.unique(code, return_inverse=True)
-        used = np.zeros(len(self.known), dtype=np.int64)
-        for row in self.rows:
-            np.add.at(used, row[6], 1)
-        n = np.bincount(where, weights=np.repeat(used, sizes), minlength=len(cells)).astype(np.int64)
+        n = np.bincount(where, weights=np.repeat(n_used, sizes), minlength=len(cells)).astype(np.int64)
         stripe = cells // (width * self.pair.n_a)
         bounds = np.searchsorted(stripe, np.arange(self.stripes + 1))
         for s in np.unique(stripe):
@@ -164,8 +225,10 @@ class _Chunk:
             yield {"chunk": name, "kind": 0, "stripe": int(s), "n": int(bounds[s + 1] - bounds[s]), "cells": _pack((cells[x] - s * width * self.pair.n_a).astype(np.int32)), "counts": _pack(n[x])}
         yield {"chunk": name, "kind": 1, "n": len(cells), "cells": _pack(where.astype(np.int32)), "counts": _pack(sizes.astype(np.int32))}
         for doc, n_a, n_b, n_groups, n_links, digest, place in self.rows:
-            yield {"chunk": name, "kind": 2, "cells": _pack(place), "doc": (doc, n_a, n_b, n_groups, n_links, digest)}
+            yield {"chunk": name, "kind": 2, "cells": _pack(number[place]), "doc": (doc, n_a, n_b, n_groups, n_links, digest)}
         self._clear()
+        if self.held > REMEMBERED:
+            self._forget()
 
     def name(self) -> int:
         from pyspark import TaskContext
