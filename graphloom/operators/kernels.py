@@ -80,7 +80,8 @@ def modularity(a: np.ndarray, part: np.ndarray) -> float:
     m = a.sum() / 2
     if m == 0:
         return 0.0
-    return float(sum(a[np.ix_(part == c, part == c)].sum() / 2 / m - (a[part == c].sum() / (2 * m)) ** 2 for c in np.unique(part)))
+    held = np.bincount(part, weights=a.sum(axis=1)) / (2 * m)
+    return float((a * (part[:, None] == part[None, :])).sum() / 2 / m - (held**2).sum())
 
 
 def adjacency(n: int, edges: set[Edge]) -> np.ndarray:
