@@ -83,17 +83,24 @@ def _anchors(batches):
 
 
 def _contexts(kinds: int):
-    """The bytes under the windows of the runs that their bucket alone doesn't settle; for large buckets, also where its string is."""
+    """The bytes under the windows of the runs that their bucket alone doesn't settle; for large buckets, also where its string is.
+
+    Runs stand for a text, of which one copy is enough. Rows come joined by (doc_id, key), so repeated rows follow one another; a
+    copy that is looked at twice all the same changes nothing, as all its windows are repeats anyway."""
 
     def run_(batches):
+        last = None
         for batch in batches:
-            yield held_runs(batch)
+            rows = list(zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), strict=True))
+            again = [a == b for a, b in zip(rows, [last, *rows], strict=False)]
+            last = rows[-1] if rows else last
+            yield held_runs(batch, again)
 
-    def held_runs(batch):
+    def held_runs(batch, again):
         row, runs, bytes_ = [], [], []
         held = batch.column("runs").to_pylist()
         for r, data in enumerate(_texts(batch.column("text"))):
-            for run in held[r]:
+            for run in () if again[r] else held[r]:
                 row.append(r)
                 held_bytes = data[run["first"] : run["first"] + run["n"] - 1 + LEN]
                 # the least bucket's string is the first of its kind in the run
@@ -230,7 +237,8 @@ def drop_repeats(docs: DataFrame, kinds: int = KINDS) -> DataFrame:
     a shared bucket, one run of each kind with the bytes under it, is refined to LEN bytes by the identifiers of later offsets:
     buckets of up to `kinds` kinds inside a task; larger ones in rounds, each of which gives shorter pieces of runs a longer
     bucket, until buckets are small or a piece is one window. Rows are runs throughout, never windows of them, and equal runs are
-    counted before any join, so a passage in any number of documents is no load for a task. Buckets are content fingerprints in
+    counted before any join, so a passage in any number of documents is no load for a task. Spans are kept once for a doc_id and text,
+    however many rows have both. Buckets are content fingerprints in
     place of ranks, so refining needs no global sort. Identifiers of a window are its bucket's and its own, 128 bits together.
 
     Null and empty texts, and those under LEN bytes, keep all; a null doc_id is an id like others; texts of any length are whole;
@@ -251,6 +259,6 @@ def drop_repeats(docs: DataFrame, kinds: int = KINDS) -> DataFrame:
     found = same.unionByName(_inside(contexts.where(F.col("kinds") <= kinds)))
     for more in _rounds(docs.sparkSession, contexts.where(F.col("kinds") > kinds), kinds):
         found = found.unionByName(more)
-    spans = staged(found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n")).alias("spans")), "spans")
+    spans = staged(found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n")).alias("spans")), "spans")
     both = keyed.alias("t").join(spans.alias("s"), F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.key") == F.col("s.key")), "left").select("t.doc_id", "t.text", "s.spans")
     return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

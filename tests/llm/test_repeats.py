@@ -76,3 +76,13 @@ def test_stretches(monkeypatch):
         monkeypatch.setattr(repeats, "STRETCH", stretch)
         runs = next(repeats._anchors([batch])).to_pylist()
         assert sorted(k for r in runs for k in range(r["first"], r["first"] + r["n"])) == list(range(4801))
+
+
+def test_many_copies_of_one_row(spark):
+    """Rows alike in doc_id and text, and rows alike in text without an id: as quick and as right as rows with ids of their own."""
+    rng = np.random.default_rng(9)
+    say = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    text, part = say(10_000), say(3_000)
+    rows = [(5, text)] * 2000 + [(None, text)] * 1000 + [(6, say(99) + "#" + text[2000:6000] + "#" + say(699)), (7, part), (8, part[:2000] + "#" + say(49))]
+    got = drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert sorted((r.doc_id or 0, *tuple(r)[1:]) for r in got) == [(0, 10_000, 10_000, 1, 1000), (5, 10_000, 10_000, 1, 2000), (6, 4800, 4000, 1, 1), (7, 3000, 2000, 1, 1), (8, 2050, 2000, 1, 1)]
