@@ -24,16 +24,21 @@ STEP_BYTES = 1 << 21
 WRITTEN: list[str] = []
 
 
+#: The folder made for sessions on a local master that name none; one a process.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Only on a local master (tests, a laptop) is one made where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="graphloom-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _made:
+        _made.append(tempfile.mkdtemp(prefix="graphloom-"))
+        atexit.register(shutil.rmtree, _made[0], True)
+    return _made[0]
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:

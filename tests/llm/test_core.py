@@ -90,3 +90,19 @@ def test_chat_round_trip(spark):
     out = {r.conv_id: r for r in chat.read_chats(chat.format_chats(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))).collect()}
     assert [(t.role, t.text) for t in out[1].turns] == [x[2:] for x in said[:2]]
     assert out[1].valid and not out[2].valid
+
+
+def test_a_folder_is_made_where_none_is_named(monkeypatch):
+    from graphloom.llm import _shared
+
+    class Bare:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "local[2]"
+
+    assert _shared.shared_dir(Bare) == _shared.shared_dir(Bare) and _shared.shared_dir(Bare)
+    Bare.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        _shared.shared_dir(Bare)
