@@ -79,4 +79,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, step) in enumerate(STAGES):
         step(spark, out, sf_dir).write.parquet(f"{folder}/{k}")
         out = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            drop_staged(spark, [f"{folder}/{k - 1}"])
     return out
