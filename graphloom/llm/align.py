@@ -21,7 +21,7 @@ FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Stripes that the ids of side B are dealt to by remainder. A stripe's block has a row for each of its ids and a column for each A id.
 STRIPES = 1000
-#: Segments of texts that a chunk of rows holds, but for a longer single text; bytes of segments that a task remembers.
+#: Segments of texts that a chunk of rows holds, but for a longer single text; bytes of segments that a worker remembers.
 #: STEP: characters that are cut and encoded together.
 CHUNK, REMEMBERED, STEP = 1_000_000, 1 << 27, 1 << 21
 #: Cells that one task counts or answers for a stripe; a stripe with more is dealt to several tasks first.
@@ -153,48 +153,63 @@ def _pack(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-class _Chunk:
-    """Rows of a task until they hold CHUNK segments: each segment once, each cell (pair of ids) once, in the order of stripes.
-
-    Segments that the task has met are numbered; arrays by number tell what they hold, up to REMEMBERED bytes of them, then the
-    task starts anew with its next chunk."""
+class _Known:
+    """Segments that a Python worker has met, numbered; arrays by number tell what they hold. Tasks of a worker follow one another,
+    so the next one goes on with what the last has met, up to REMEMBERED bytes."""
 
-    def __init__(self, pair: Pair, stripes: int):
-        self.pair, self.stripes = pair, stripes
-        self._forget()
-        self._clear()
+    def __init__(self, pair: Pair):
+        self.pair = pair
+        self.forget()
 
-    def _forget(self):
+    def forget(self):
         self.number_of: dict[str, int] = {}
         self.told: list[Aligned] = []
         self.groups: list[bytes] = []
         self.counts = np.zeros((5, 0), dtype=np.int64)
         self.held = 0
 
+    def meet(self, segments: list[str]) -> None:
+        for at in range(0, len(segments), 8192):
+            part = segments[at : at + 8192]
+            told = self.pair.segments(part)
+            first = len(self.groups)
+            self.groups += told.groups
+            self.told.append(told)
+            self.counts = np.concatenate([self.counts, np.stack([told.ok, told.n_a, told.n_b, told.n_groups, told.n_links])], axis=1)
+            self.number_of.update(zip(part, range(first, first + len(part)), strict=True))
+            self.held += sum(map(len, part)) * 8 + 300 * len(part)
+
+
+@functools.lru_cache(maxsize=1)
+def _known(byte_bpe: bytes, pieces: bytes) -> _Known:
+    return _Known(_pair(byte_bpe, pieces))
+
+
+class _Chunk:
+    """Rows of a task until they hold CHUNK segments: each segment once, each cell (pair of ids) once, in the order of stripes."""
+
+    def __init__(self, known: _Known, stripes: int):
+        self.known, self.pair, self.stripes = known, known.pair, stripes
+        self._clear()
+
     def _clear(self):
         self.rows: list[tuple] = []
         self.count = 0
+        if self.known.held > REMEMBERED:
+            self.known.forget()
 
     def add(self, ids: list, texts: list[str | None]) -> None:
         cut = [_CUT.split(" " + t) if t else [] for t in texts]
-        fresh = [s for s in dict.fromkeys(itertools.chain.from_iterable(cut)) if s not in self.number_of]
-        for at in range(0, len(fresh), 8192):
-            part = fresh[at : at + 8192]
-            told = self.pair.segments(part)
-            self.number_of.update(zip(part, range(len(self.groups), len(self.groups) + len(part)), strict=True))
-            self.groups += told.groups
-            self.told.append(told)
-            self.held += sum(map(len, part)) * 8 + 300 * len(part)
-        if fresh:
-            whole = [self.counts, *(np.stack([t.ok, t.n_a, t.n_b, t.n_groups, t.n_links]) for t in self.told[-(-(-len(fresh) // 8192)) :])]
-            self.counts = np.concatenate(whole, axis=1)
+        number_of = self.known.number_of
+        self.known.meet([s for s in dict.fromkeys(itertools.chain.from_iterable(cut)) if s not in number_of])
+        groups = self.known.groups
         for doc, segs in zip(ids, cut, strict=True):
-            place = np.fromiter(map(self.number_of.__getitem__, segs), np.int64, len(segs))
-            ok, *n = self.counts[:, place]
+            place = np.fromiter(map(number_of.__getitem__, segs), np.int64, len(segs))
+            ok, *n = self.known.counts[:, place]
             if not segs or not ok.all():
                 self.rows.append((doc, 0, 0, 0, 0, "", place[:0]))
                 continue
-            digest = hashlib.sha256(b"".join(map(self.groups.__getitem__, place.tolist()))[:-1]).hexdigest()
+            digest = hashlib.sha256(b"".join(map(groups.__getitem__, place.tolist()))[:-1]).hexdigest()
             self.rows.append((doc, *[int(x.sum()) for x in n], digest, place))
             self.count += len(segs)
 
@@ -207,10 +222,10 @@ class _Chunk:
         used, n_used = np.unique(every, return_counts=True)
         often = np.argsort(-n_used, kind="stable")  # frequent segments get small numbers, which compress well
         used, n_used = used[often], n_used[often]
-        number = np.zeros(len(self.groups), dtype=np.int32)
+        number = np.zeros(len(self.known.groups), dtype=np.int32)
         number[used] = np.arange(len(used))
-        every_size = self.counts[4]
-        link_a, link_b = (np.concatenate([getattr(t, x) for t in self.told] or [every]) for x in ("link_a", "link_b"))
+        every_size = self.known.counts[4]
+        link_a, link_b = (np.concatenate([getattr(t, x) for t in self.known.told] or [every]) for x in ("link_a", "link_b"))
         sizes = every_size[used]
         at = ragged((np.cumsum(every_size) - every_size)[used], sizes)
         a, b = link_a[at], link_b[at]
@@ -227,8 +242,6 @@ class _Chunk:
         for doc, n_a, n_b, n_groups, n_links, digest, place in self.rows:
             yield {"chunk": name, "kind": 2, "cells": _pack(number[place]), "doc": (doc, n_a, n_b, n_groups, n_links, digest)}
         self._clear()
-        if self.held > REMEMBERED:
-            self._forget()
 
     def name(self) -> int:
         from pyspark import TaskContext
@@ -261,7 +274,7 @@ def _in_parts(rows: Iterator[dict], size: int = 2000) -> Iterator[pa.RecordBatch
 
 def _links(files, stripes: int):
     def run(batches):
-        chunk, waiting, size = _Chunk(_pair(*files.value), stripes), [], 0
+        chunk, waiting, size = _Chunk(_known(*files.value), stripes), [], 0
         for b in batches:
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
                 waiting.append((doc, text.as_py()))
@@ -375,7 +388,7 @@ def align_tokenizers(docs: DataFrame, folder: str = FOLDER, byte_bpe: str = BYTE
     """docs: doc_id, text. One row per row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     Texts are cut before single spaces, where both tokenizers always start a token, so whatever a segment gives, it gives in any
-    text: a task encodes and aligns each segment once and remembers it. A chunk of rows keeps each pair of ids once, with the
+    text: a worker encodes and aligns each segment once and remembers it. A chunk of rows keeps each pair of ids once, with the
     number of its links. Pairs are dealt to stripes by B id; a stripe's task adds them up in a dense block of ids (np.add.at), and
     row maxima are the best counts. Pairs are then scored where their stripe's block is, and the answers go back to their chunk,
     whose documents sum them over their segments. So shuffled are pairs a chunk, never links a document; memory holds a block of
