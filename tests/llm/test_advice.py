@@ -49,7 +49,7 @@ def test_marked_frames_keep_the_text(spark):
 def test_template_decides_the_slots(spark):
     words = ["alpha beta gamma delta", "one two three four five", "red green blue and white", "north south east west"]
     framed = "<body><div><article><h1>T {0}</h1><p>{0} is long enough</p><p>Read more on our site</p></article></div></body>"
-    assert texts(spark, *[framed.format(w) for w in words]) == [f"T {w}\n\n{w} is long enough" for w in words]
+    assert texts(spark, *[framed.format(w) for w in words]) == [f"T {w}\n\n{w} is long enough\n\nRead more on our site" for w in words]
     teaser = "<body><article>Top story</article><div class='x'><div class='title'>T {0}</div><p>{0} is long enough, and more of it stands here</p></div><p>All rights</p></body>"
     assert texts(spark, *[teaser.format(w) for w in words]) == [f"T {w}\n\n{w} is long enough, and more of it stands here" for w in words]
     assert texts(spark, framed.format("x")) == ["T x\n\nx is long enough\n\nRead more on our site"]
