@@ -25,6 +25,9 @@ class Molecule:
             self.near[u][v] = self.near[v][u] = k
         self.rings = least_rings(self.n, [(u, v) for u, v, _ in bonds])
         self.ring_bonds = {frozenset((r[i - 1], r[i])) for r in self.rings for i in range(len(r))}
+        for u, v, k in bonds:  # written without a sign, a bond between two rings is single
+            if k == 3 and frozenset((u, v)) not in self.ring_bonds:
+                self.near[u][v] = self.near[v][u] = 0
         self.ring_sizes = [sorted(len(r) for r in self.rings if i in r) for i in range(self.n)]
         self.hydrogens = [h if h is not None else self._fill(i) for i, h in enumerate(explicit)]
         self._perceive()

@@ -56,3 +56,36 @@ RINGS = {
     "cyclohexene": "C1=CCCCC1",
     "cyclopentene": "C1=CCCC1",
 }
+
+#: Motifs that are counted when two sets of molecules are compared. Fixed values.
+EVALUATION = {
+    "benzene": "c1ccccc1",
+    "pyridine": "c1ccncc1",
+    "pyrrole": "c1cc[nH]c1",
+    "furan": "c1ccoc1",
+    "thiophene": "c1ccsc1",
+    "imidazole": "c1cnc[nH]1",
+    "pyrimidine": "c1cncnc1",
+    "naphthalene": "c1ccc2ccccc2c1",
+    "hydroxyl": "[OX2H]",
+    "carboxyl": "[CX3](=O)[OX2H1]",
+    "carbonyl": "[CX3]=[OX1]",
+    "aldehyde": "[CX3H1](=O)[#6]",
+    "ester": "[#6][CX3](=O)[OX2H0][#6]",
+    "amide": "[NX3][CX3](=[OX1])[#6]",
+    "amine_primary": "[NX3;H2;!$(NC=O)]",
+    "amine_secondary": "[NX3;H1;!$(NC=O)]",
+    "amine_tertiary": "[NX3;H0;!$(NC=O)]",
+    "nitro": "[$([NX3](=O)=O),$([NX3+](=O)[O-])]",
+    "nitrile": "[NX1]#[CX2]",
+    "halogen": "[F,Cl,Br,I]",
+    "fluorine": "[F]",
+    "chlorine": "[Cl]",
+    "bromine": "[Br]",
+    "iodine": "[I]",
+    "ether": "[OD2]([#6])[#6]",
+    "thioether": "[#16X2]",
+    "sulfone": "[#16X4](=[OX1])(=[OX1])([#6])[#6]",
+    "sulfonamide": "[#16X4](=[OX1])(=[OX1])([NX3])[#6]",
+    "phosphate": "[PX4](=[OX1])([OX2])([OX2])[OX2]",
+}

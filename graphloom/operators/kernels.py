@@ -64,18 +64,26 @@ def _by_cut(n: int, near: list[set[int]], sign: int) -> list[int]:
     return out
 
 
-def spectral_histogram(n: int, edges: set[Edge], bins: int = 200) -> np.ndarray:
-    """Eigenvalues of the normalised Laplacian in bins over (-1e-5, 2), as shares."""
+def laplacian_spectrum(n: int, edges: set[Edge]) -> np.ndarray:
+    """Eigenvalues of the normalised Laplacian; a node without edges has a row of zeros."""
     a = np.zeros((n, n))
     for u, v in edges:
         a[u, v] = a[v, u] = 1
     d = a.sum(axis=1)
     s = np.where(d > 0, 1 / np.sqrt(np.maximum(d, 1)), 0)
-    values = np.linalg.eigvalsh(np.diag((d > 0).astype(float)) - s[:, None] * a * s[None, :]) if n else np.zeros(0)
+    return np.linalg.eigvalsh(np.diag((d > 0).astype(float)) - s[:, None] * a * s[None, :]) if n else np.zeros(0)
+
+
+def spectral_shares(values: np.ndarray, bins: int = 200) -> np.ndarray:
+    """Eigenvalues in bins over (-1e-5, 2), as shares."""
     h = np.histogram(values, bins=bins, range=(-1e-5, 2))[0].astype(float)
     return h / (h.sum() + 1e-6)
 
 
+def spectral_histogram(n: int, edges: set[Edge], bins: int = 200) -> np.ndarray:
+    return spectral_shares(laplacian_spectrum(n, edges), bins)
+
+
 def modularity(a: np.ndarray, part: np.ndarray) -> float:
     m = a.sum() / 2
     if m == 0:

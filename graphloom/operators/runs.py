@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.staging import staged
+
 
 def run_info(name: Column) -> Column:
     """From a run's name: scheme, coarsening and number of samples; null where it doesn't tell."""
@@ -36,15 +38,19 @@ def export_csv(table: DataFrame, path: str, digits: int = 4) -> None:
     table.select(*shown).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def lineage(configs: DataFrame, steps: int = 32) -> DataFrame:
-    """configs: run_id, parent, settings (map). Each run's settings over those of the runs it was resumed from, nearest first; a chain
-    is followed for `steps` runs and must end by then."""
-    out = configs.select("run_id", F.col("parent").alias("next"), F.col("settings"))
-    known = configs.select(F.col("run_id").alias("next"), F.col("parent").alias("_parent"), F.col("settings").alias("_more"))
-    for _ in range(steps):
-        if out.where("next IS NOT NULL").isEmpty():
-            return out.select("run_id", "settings")
-        joined = out.join(known, "next", "left")
-        fresh = F.map_filter(F.coalesce("_more", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: ~F.map_contains_key("settings", k))
-        out = joined.select("run_id", F.col("_parent").alias("next"), F.map_concat("settings", fresh).alias("settings"))
-    raise ValueError("a chain of runs is longer than steps, or a circle")
+def lineage(configs: DataFrame) -> DataFrame:
+    """configs: run_id, parent, settings (map). Each run's settings over those of the runs it was resumed from, nearest first.
+
+    Every round doubles how far a run has looked back, so a chain of any length takes the logarithm of its length in rounds, and each
+    round is staged. A parent that isn't there ends a chain; runs that resume one another in a circle raise an error."""
+    kind = "map<string,string>"
+    out = staged(configs.select("run_id", F.col("parent").alias("next"), F.coalesce(F.col("settings"), F.create_map().cast(kind)).alias("settings")), "lineage")
+    rounds = max(out.count(), 1).bit_length() + 1
+    while not out.where("next IS NOT NULL").isEmpty():
+        if not rounds:
+            raise ValueError("runs resume one another in a circle")
+        rounds -= 1
+        further = out.select(F.col("run_id").alias("next"), F.col("next").alias("_next"), F.col("settings").alias("_more"))
+        fresh = F.map_filter(F.coalesce("_more", F.create_map().cast(kind)), lambda k, v: ~F.map_contains_key("settings", k))
+        out = staged(out.join(further, "next", "left").select("run_id", F.col("_next").alias("next"), F.map_concat("settings", fresh).alias("settings")), "lineage")
+    return out.select("run_id", "settings")
