@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.operators import kernels
+from graphloom.operators.edges import transitions
 
 _EDGES = """WITH step AS (SELECT user_id, event_type AS a, LEAD(event_type) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS b FROM {ev}),
 e AS (SELECT DISTINCT user_id, least(a, b) AS u, greatest(a, b) AS v FROM step WHERE b IS NOT NULL AND a <> b)"""
@@ -13,12 +15,11 @@ e AS (SELECT DISTINCT user_id, least(a, b) AS u, greatest(a, b) AS v FROM step W
 
 def user_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """graph_id, nodes (sorted labels), edges (pairs of places in nodes): transitions between event types of a user."""
-    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
-    return spark.sql(
-        _EDGES.format(ev="events")
-        + """, g AS (SELECT user_id AS graph_id, array_sort(array_distinct(flatten(collect_list(array(u, v))))) AS nodes, array_sort(collect_list(struct(u, v))) AS pairs FROM e GROUP BY user_id)
-        SELECT graph_id, nodes, transform(pairs, p -> array(CAST(array_position(nodes, p.u) - 1 AS INT), CAST(array_position(nodes, p.v) - 1 AS INT))) AS edges FROM g"""
-    )
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type", F.to_date("ts").alias("d"))
+    pairs = transitions(events, "user_id", [F.col("d")], ["ts", "event_id"], "event_type")
+    held = pairs.groupBy("graph_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("u", "v"))))).alias("nodes"), F.array_sort(F.collect_list(F.struct("u", "v"))).alias("pairs"))
+    place = lambda x: (F.array_position("nodes", x) - 1).cast("int")
+    return held.select("graph_id", "nodes", F.transform("pairs", lambda p: F.array(place(p["u"]), place(p["v"]))).alias("edges"))
 
 
 def per_graph(graphs: DataFrame, fn, schema: str) -> DataFrame:

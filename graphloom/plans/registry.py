@@ -1,9 +1,10 @@
-"""Queries over graph collections derived from the relational tables.
+"""Queries over graph collections derived from the relational tables: the operators are in graphloom.plans.collections, the texts here
+are what DuckDB holds them against.
 
 The collection `user-day` has one graph per user and day: nodes are the event types of that day, edges the distinct pairs of
-types that follow one another. Days before 2024-01-16 are the reference side, later ones the generated side. Each query is one
-declarative plan; Catalyst decides on joins and exchanges. Pairwise kernels run over DISTINCT histograms with multiplicities, so
-their cost depends on the number of different graph shapes and not on the number of graphs.
+types that follow one another. Days before 2024-01-16 are the reference side, later ones the generated side. Pairwise
+kernels run over DISTINCT histograms with multiplicities, so their cost depends on the number of different graph shapes and not on
+the number of graphs.
 """
 
 from __future__ import annotations
@@ -119,26 +120,14 @@ SQL: dict[str, str] = {
       SELECT round(-sum(n * ln(n / m)) / sum(n), 9) AS loss, round(exp(-sum(n * ln(n / m)) / sum(n)), 9) AS perplexity FROM c JOIN m USING (a)""",
 }
 
-TABLES = ("events", "documents", "conversations", "orders", "lineitem")
-
-
-def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """One SQL text over the Parquet tables of a folder."""
-    for name in TABLES:
-        if name in text:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(text)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return COLLECTIONS["degree_mmd"](spark, sf_dir)
 
 
 def relational_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """DataFrame operators where there are any; the rest is one declarative text each."""
-    texts = {name: lambda spark, sf_dir, text=text: run_sql(spark, sf_dir, text) for name, text in SQL.items()}
-    return {**texts, **COLLECTIONS}
+    return {name: COLLECTIONS[name] for name in SQL}
 
 
 def relational_oracles() -> dict[str, str]:
+    """The texts above; Spark doesn't run them."""
     return dict(SQL)
