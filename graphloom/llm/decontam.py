@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import shingle_hashes, small_batches, staged, steps
+from graphloom.llm._shared import mix, powers, shingle_hashes, small_batches, staged, steps
 
 #: Tokens of benchmark items that one pass over the documents holds; more items make more passes.
 BLOCK_TOKENS = 2_000_000
+#: Seeds a word of item and document up to which a pair's are listed; with more, matches are found by their lengths.
+SEEDS_PER_WORD = 4
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -35,7 +37,7 @@ def tile(item: list[bytes], doc: list[bytes], least: int, seeds: tuple[np.ndarra
     item, then doc, and again until none of `least` tokens or more is left. Neighbouring seeds on one diagonal are one match, so
     each match is looked at once and again only in the parts that marks have left of it.
 
-    seeds: places in item and doc where `least` equal tokens start, by running fingerprints; looked up here if not given."""
+    seeds: places in item and doc where `least` equal tokens start; looked up here if not given."""
     i, j = shared_starts(item, doc, least) if seeds is None else seeds
     if not len(i):
         return 0
@@ -59,35 +61,90 @@ def tile(item: list[bytes], doc: list[bytes], least: int, seeds: tuple[np.ndarra
     return covered
 
 
+def tile_long(item: list[bytes], doc: list[bytes], least: int) -> int:
+    """The same as `tile` in memory that follows the words, not the pairs of places: a word that item and doc repeat n and m times makes
+    n * m seeds. The length of the longest match is searched by running Karp-Rabin fingerprints of all free windows; all matches of
+    that length are marked in order, then shorter ones are looked for. Tokens are compared before they are marked."""
+    ids: dict[bytes, int] = {}
+    a, b = (np.array([ids.setdefault(w, len(ids)) for w in x], dtype=np.int64) for x in (item, doc))
+    up, down = powers(max(len(a), len(b)) + 1)
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(x.astype(np.uint64) + np.uint64(1)) * up[: len(x)])]) for x in (a, b)]
+    free = [np.ones(len(x), dtype=bool) for x in (a, b)]
+
+    def windows(side: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        taken = np.concatenate([[0], np.cumsum(~free[side])])
+        at = np.flatnonzero(taken[n:] == taken[:-n]) if n <= len(free[side]) else np.zeros(0, np.int64)
+        return at, (sums[side][at + n] - sums[side][at]) * down[at]
+
+    def common(n: int):
+        (i, x), (j, y) = windows(0, n), windows(1, n)
+        kept = np.isin(x, y)
+        return i[kept], x[kept], j, y
+
+    covered, high = 0, min(len(a), len(b))
+    while high >= least and covered < len(a) and len(common(least)[0]):
+        low = least
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(common(middle)[0]) else (low, middle - 1)
+        i, x, j, y = common(low)
+        order = np.argsort(y, kind="stable")
+        j, y = j[order], y[order]
+        ahead: dict[int, int] = {}
+        for p, h in zip(i.tolist(), x, strict=True):
+            if not (free[0][p] and free[0][p + low - 1]):  # tiles are as long as windows, so none lies between free ends
+                continue
+            at = ahead.get(int(h), -1)
+            at = int(np.searchsorted(y, h)) if at < 0 else at
+            while at < len(y) and y[at] == h:
+                q = int(j[at])
+                if free[1][q] and free[1][q + low - 1] and (a[p : p + low] == b[q : q + low]).all():
+                    free[0][p : p + low] = free[1][q : q + low] = False
+                    covered += low
+                    break
+                at += 1
+            ahead[int(h)] = at
+        high = low - 1
+    return covered
+
+
+def covered_by(item: list[bytes], doc: list[bytes], least: int, starts: dict[tuple, list[int]]) -> int:
+    """Tokens of item that tiles cover; starts: the places of doc's runs of `least` tokens. Seeds are listed where there are no more of
+    them than some words' worth; both ways give the same."""
+    runs = [tuple(item[i : i + least]) for i in range(len(item) - least + 1)]
+    if sum(len(starts.get(r, ())) for r in runs) > SEEDS_PER_WORD * (len(item) + len(doc)):
+        return tile_long(item, doc, least)
+    pairs = np.array([(i, j) for i, r in enumerate(runs) for j in starts.get(r, ())], dtype=np.int64).reshape(-1, 2)
+    return tile(item, doc, least, (pairs[:, 0], pairs[:, 1]))
+
+
 def _seeds(x, bounds, index):
-    """Shared shingles of a step's rows and the items: arrays (row, item, position in item, position in row), in that order."""
+    """Shingles that a step's rows and the items share, each once a row: arrays (row, item, place in item), in that order."""
     h, owner, place = index
     left = np.searchsorted(h, x)
     hit = np.flatnonzero(h[np.minimum(left, len(h) - 1)] == x)
+    row = np.searchsorted(bounds, hit, side="right") - 1
+    _, once = np.unique(np.stack([row, left[hit]]), axis=1, return_index=True)
+    hit, row = hit[once], row[once]
     left, count = left[hit], np.searchsorted(h, x[hit], side="right") - left[hit]
     entry = np.repeat(left - np.cumsum(count) + count, count) + np.arange(count.sum())
-    row = np.searchsorted(bounds, hit, side="right") - 1
-    row, at = np.repeat(row, count), np.repeat(hit - bounds[row], count)
-    order = np.lexsort((at, place[entry], owner[entry], row))
-    return row[order], owner[entry][order], place[entry][order], at[order]
+    row = np.repeat(row, count)
+    order = np.lexsort((place[entry], owner[entry], row))
+    return row[order], owner[entry][order], place[entry][order]
 
 
-def _groups(row, item, place, at, least, need):
-    """(row, item, seeds) of the pairs whose seeds, overlaps included, touch as many tokens of the item as are needed: tiles consist
-    of seeds, so no pair is lost."""
+def _groups(row, item, place, least, need):
+    """(row, item) of the pairs whose seeds, overlaps included, touch as many tokens of the item as are needed: tiles consist of
+    seeds, so no pair is lost."""
     if not len(row):
         return
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])])
-    fresh = new | np.concatenate([[True], place[1:] != place[:-1]])
-    f = np.flatnonzero(fresh)
-    ends = np.append(new[f[1:]], True)
-    step = np.where(ends, least, np.minimum(least, np.append(place[f[1:]], 0) - place[f]))
-    pair = np.cumsum(new) - 1
-    touched = np.bincount(pair[f], weights=step)
-    start = np.append(np.flatnonzero(new), len(row))
-    for g in np.flatnonzero(touched >= need[item[start[:-1]]]):
-        part = slice(start[g], start[g + 1])
-        yield int(row[start[g]]), int(item[start[g]]), (place[part], at[part])
+    ends = np.append(new[1:], True)
+    step = np.where(ends, least, np.minimum(least, np.append(place[1:], 0) - place))
+    touched = np.bincount(np.cumsum(new) - 1, weights=step)
+    start = np.flatnonzero(new)
+    for g in np.flatnonzero(touched >= need[item[start]]):
+        yield int(row[start[g]]), int(item[start[g]])
 
 
 def _matcher(items, k, share):
@@ -109,12 +166,14 @@ def _matcher(items, k, share):
         for at, _, data, offsets in steps(texts):
             for length, index in indexes.items():
                 x, bounds = shingle_hashes(data, offsets, length)
-                held, doc = -1, []
-                for r, n, seeds in _groups(*_seeds(x, bounds, index), length, need):
+                held, doc, starts = -1, [], {}
+                for r, n in _groups(*_seeds(x, bounds, index), length, need):
                     if r != held:
-                        held, doc = r, words(texts[at + r].as_py())
+                        held, doc, starts = r, words(texts[at + r].as_py()), {}
+                        for j in range(len(doc) - length + 1):
+                            starts.setdefault(tuple(doc[j : j + length]), []).append(j)
                     item, t = tokens[n]
-                    covered = tile(t, doc, length, seeds)
+                    covered = covered_by(t, doc, length, starts)
                     if covered >= share * len(t):
                         yield at + r, item, covered, len(t)
 

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import corpus_pipeline
 
@@ -140,3 +141,28 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert len(rows) > 300 and len({r.doc_id for r in rows}) == len(rows)
     assert all(0 <= r.taken <= 2 * r.size for r in rows)
+
+
+def test_tiles_by_length_are_the_same():
+    rng = random.Random(11)
+    for _ in range(300):
+        words = [bytes([97 + rng.randrange(rng.choice([1, 2, 4]))]) for _ in range(rng.randrange(1, 40))]
+        doc = [bytes([97 + rng.randrange(rng.choice([1, 2, 4]))]) for _ in range(rng.randrange(1, 60))]
+        for least in (1, 3, 5):
+            assert decontam.tile_long(words, doc, least) == decontam.tile(words, doc, least)
+
+
+def test_repetitive_texts_take_memory_by_their_length(spark):
+    import time
+    import tracemalloc
+
+    item, doc = [b"w"] * 2000, [b"w"] * 100_000
+    tracemalloc.start()
+    began = time.time()
+    assert decontam.tile_long(item, doc, 5) == 2000
+    assert decontam.tile_long([b"a", b"b"] * 1000, [b"b", b"a", b"b"] * 30_000, 5) == decontam.tile_long([b"a", b"b"] * 1000, [b"b", b"a", b"b"] * 30_000, 5)
+    assert time.time() - began < 30 and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    bench = spark.createDataFrame([(1, "w " * 2000), (2, "w " * 2000 + "end of it")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "w " * 100_000), (2, "w " * 100)], "doc_id long, text string")
+    assert sorted(map(tuple, decontam.contaminated(docs, bench).collect())) == [(1, 1, 2000, 2000), (1, 2, 2000, 2003)]
