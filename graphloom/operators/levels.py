@@ -71,11 +71,11 @@ def hierarchy(graphs: DataFrame, method: str = "spectral", min_size: int = MIN_S
         inner = now.where("communities IS NOT NULL")
         if inner.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        each = inner.withColumn("child", F.explode(F.array_distinct("communities")))
-        at = F.map_from_arrays("nodes", "communities")
+        told = F.transform("edges", lambda e: F.struct(e["u"].alias("u"), e["v"].alias("v"), e["label"].alias("label"), child_of(F.col("nodes"), F.col("communities"), e["u"]).alias("cu"), child_of(F.col("nodes"), F.col("communities"), e["v"]).alias("cv"))).cast("array<struct<u: int, v: int, label: int, cu: int, cv: int>>")
+        each = inner.select("graph_id", "path", "nodes", "communities", told.alias("told"), F.explode(F.array_distinct("communities")).alias("child"))
         held = F.filter("nodes", lambda x, i: F.get("communities", i) == F.col("child"))
-        kept = F.filter("edges", lambda e: (F.col("at")[e["u"]] == F.col("child")) & (F.col("at")[e["v"]] == F.col("child")))
-        level = each.withColumn("at", at).select("graph_id", F.concat("path", F.array("child")).alias("path"), held.alias("nodes"), kept.alias("edges"))
+        kept = F.filter("told", lambda e: (e["cu"] == F.col("child")) & (e["cv"] == F.col("child")))
+        level = each.select("graph_id", F.concat("path", F.array("child")).alias("path"), held.alias("nodes"), F.transform(kept, lambda e: F.struct(e["u"].alias("u"), e["v"].alias("v"), e["label"].alias("label"))).cast(EDGES).alias("edges"))
 
 
 def leaves(parts: DataFrame) -> DataFrame:
@@ -85,18 +85,17 @@ def leaves(parts: DataFrame) -> DataFrame:
 def bipartites(parts: DataFrame) -> DataFrame:
     """(graph_id, path, left, right, pairs): of each inner part, for children left < right, the edges between them as struct
     (a, b, label): places in the children's nodes, in order."""
-    ends = lambda e: (child_of(F.col("nodes"), F.col("communities"), e["u"]), child_of(F.col("nodes"), F.col("communities"), e["v"]))
-
-    def place(x, c):
-        return (F.array_position(F.filter("nodes", lambda y, i: F.get("communities", i) == c), x) - 1).cast("int")
+    # each node's child and its place in it, once a part
+    at = F.transform("communities", lambda c, i: F.struct(c.alias("c"), F.size(F.filter(F.slice("communities", F.lit(1), i), lambda x: x == c)).alias("place")))
+    held = parts.where("communities IS NOT NULL").select("graph_id", "path", "nodes", "edges", F.explode(F.array(at)).alias("at"))
 
     def cross(e):
-        cu, cv = ends(e)
-        swap = cu > cv
-        pick = lambda x, y: F.when(swap, y).otherwise(x)
-        return F.struct(pick(cu, cv).alias("left"), pick(cv, cu).alias("right"), pick(place(e["u"], cu), place(e["v"], cv)).alias("a"), pick(place(e["v"], cv), place(e["u"], cu)).alias("b"), e["label"].alias("label"))
+        x, y = (F.get("at", (F.array_position("nodes", e[c]) - 1).cast("int")) for c in ("u", "v"))
+        swap = x["c"] > y["c"]
+        pick = lambda p, q: F.when(swap, q).otherwise(p)
+        return F.struct(pick(x["c"], y["c"]).alias("left"), pick(y["c"], x["c"]).alias("right"), pick(x["place"], y["place"]).alias("a"), pick(y["place"], x["place"]).alias("b"), e["label"].alias("label"))
 
-    inner = parts.where("communities IS NOT NULL").select("graph_id", "path", F.explode(F.transform("edges", cross)).alias("x")).where("x.left <> x.right")
+    inner = held.select("graph_id", "path", F.explode(F.transform("edges", cross)).alias("x")).where("x.left <> x.right")
     return inner.groupBy("graph_id", "path", F.col("x.left").alias("left"), F.col("x.right").alias("right")).agg(F.array_sort(F.collect_list(F.struct("x.a", "x.b", "x.label"))).alias("pairs"))
 
 
