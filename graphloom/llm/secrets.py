@@ -19,6 +19,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: A further candidate: a long run of key characters with both letters and digits and at least ENTROPY bits a character.
 KEYLIKE = re.compile(r"[A-Za-z0-9+/_=-]{28,}")
 ENTROPY = 3.5
+#: Owners, and repositories, from which on a value counts as widely copied. A forked or mirrored key stands with two owners, so two are
+#: not enough; a published example soon has three. Tables without a column of repositories give their owners for both.
+COPIED = 3
 _RUN = bytes(48 + (65 <= b <= 90 or 97 <= b <= 122 or 48 <= b <= 57 or b in b"+/_=-") for b in range(256))
 _HEXRUN = bytes(48 + (48 <= b <= 57 or 97 <= b <= 102) for b in range(256))
 KINDS = ("assign", "access", "hex", "owned")
@@ -89,13 +92,13 @@ def _judged(docs: DataFrame, owner: str, repository: str, copied: int, forks: in
     return out.withColumn("every", F.array_sort(F.concat("base", "more")))
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "source", copied: int = 2, forks: int = 5) -> DataFrame:
+def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "source", copied: int = COPIED, forks: int = COPIED) -> DataFrame:
     """docs: doc_id, text and the columns of owner and repository. One row per row of docs.
 
     n_assign, n_access, n_hex and base_sha256 tell of the base spans; spans has those and the added ones of kind `owned`:
     key-like strings that the base patterns miss and that aren't widely copied. Widely copied, published examples for the most
     part, are values that over the whole corpus at least `copied` owners hold, in at least `forks` repositories together; a live
-    key of which one copy stands elsewhere stays live. n_live and n_copied count the candidate values of the row by that rule.
+    key of which one copy stands elsewhere stays live. However often one owner has a value, it is that owner's. n_live and n_copied count the candidate values of the row by that rule.
     Counts are made before the shuffle, so one value in any share of all rows is no load for a task. Offsets are code points,
     end exclusive. Null and empty texts have no spans; null is an owner like others; repeated rows each have their row; no rows
     give no rows.
@@ -111,7 +114,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "sour
     )
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source", repository: str = "source", copied: int = 2, forks: int = 5) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source", repository: str = "source", copied: int = COPIED, forks: int = COPIED) -> DataFrame:
     """docs with every span of scan_secrets in text, base and owned, replaced by mark and n_chars renewed; texts without spans
     stay as they are. Spans follow from the text and the corpus, so rows meet theirs by the text's SHA-256, whatever their doc_id."""
     columns = docs.columns
