@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from graphloom.llm._shared import partitions, small_batches, staged
 
-DIMS = 8
+DIMS = 16
 SHARD, BLOCK, LEAF = 8192, 2048, 128
+#: Points that are verified between two looks at the stopping test.
+STEP = 64
 #: Parts into which the shards' answers to one query are dealt before they are merged.
 MERGE = 64
 
@@ -51,8 +53,20 @@ class Tree:
                 open_ += [(order[:half], me), (order[half:], me)]
         self.low, self.high = np.stack(low), np.stack(high)
 
-    def nearest(self, at: np.ndarray):
-        """Leaves with the squared distance of their boxes, nearest first; nodes are opened as they come up."""
+    def nearest(self, points: np.ndarray, at: np.ndarray):
+        """Points of the tree and their squared distances, nearest first, in runs of up to STEP: nodes are opened as they come up, and a
+        point comes when no box that isn't opened can hold a nearer one."""
+        held, gaps = np.zeros(0, np.int64), np.zeros(0)
+        for bound, new in self._leaves(at):
+            ready = gaps <= bound
+            if ready.any():
+                yield from _runs(held[ready], gaps[ready])
+                held, gaps = held[~ready], gaps[~ready]
+            held, gaps = np.concatenate([held, new]), np.concatenate([gaps, ((points[new] - at) ** 2).sum(axis=1)])
+        yield from _runs(held, gaps)
+
+    def _leaves(self, at: np.ndarray):
+        """Leaves with the squared distance of their boxes, nearest first."""
         heap = [(0.0, 0)]
         while heap:
             gap, node = heappop(heap)
@@ -65,12 +79,24 @@ class Tree:
             heappush(heap, (float(far[1]), two[1]))
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int, p: float):
+def _runs(held: np.ndarray, gaps: np.ndarray):
+    order = np.argsort(gaps, kind="stable")
+    for lo in range(0, len(order), STEP):
+        part = order[lo : lo + STEP]
+        yield held[part], gaps[part]
+
+
+def search(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int, p: float, looked: list[int] | None = None):
     """(place of the query, neighbour, score) of each query's k best of a shard, one row of its id and vector left out as its own.
 
     With one more component sqrt(top**2 - norm**2), top being the shard's largest norm, the largest inner product is the nearest
     neighbour; scales of points and queries don't change the order and are taken out first, so no norm overflows. Equal vectors are
     one point; of its rows, the k + 1 of least id are all that k neighbours can need.
+
+    Projected distances are squared distances times a chi-square of DIMS degrees. Points come in the order of their projection and
+    are verified; with d the distance of the (k + 1)-th best so far, the query itself one of them, a point that is nearer has a
+    projection under the p-quantile times d with probability p, so the search ends at the first projection beyond it. looked:
+    gets the number of points verified, query by query.
     """
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
@@ -92,13 +118,16 @@ def search(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.
         q_unit = q / np.abs(q).max()
         base = top + q_unit @ q_unit
         got, scores = np.zeros(0, np.int64), np.zeros(0)
-        for gap, new in tree.nearest(q_unit @ plane[:-1]):
-            if len(scores) > k and gap >= bar * max(0.0, base - 2 * scores.min()):
+        seen = 0
+        for new, gaps in tree.nearest(low, q_unit @ plane[:-1]):
+            if len(scores) > k and gaps[0] >= bar * max(0.0, base - 2 * scores[k]):
                 break
+            seen += len(new)
             got, scores = np.concatenate([got, new]), np.concatenate([scores, unit[new] @ q_unit])
-            if len(got) > k + 5:
-                best = np.argpartition(-scores, k + 4)[: k + 5]
-                got, scores = got[best], scores[best]
+            best = np.argsort(-scores, kind="stable")[: k + 6]
+            got, scores = got[best], scores[best]
+        if looked is not None:
+            looked.append(seen)
         rows = []
         for s, c in zip((points[got] * q).sum(axis=1).tolist(), got.tolist(), strict=True):
             held = members[c][: k + 1]
@@ -142,12 +171,12 @@ def _tiles(k, p):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, p: float = 0.97) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, p: float = 0.93) -> DataFrame:
     """vectors, queries: vec_id, embedding. Each query's k rows of largest inner product that the search finds, its own left out:
     query_id, rank, vec_id, score, nearest first, ties to the smaller vec_id; all rows, if there are fewer than k.
 
     Index and queries meet in tiles of bounded size, dealt by a hash of vec_id, so equal vectors don't gather anywhere. In a tile
-    the projected neighbours come from a kd-tree, nearest leaf first, and are verified on the original vectors until the chi-square
+    the projected neighbours come from a kd-tree one after another, nearest first, and are verified on the original vectors until the chi-square
     test says that, with probability p, none farther in the projection is nearer in truth. Vectors of one length are searched among
     themselves, as no others have an inner product. Of rows that repeat a query's id, one with its vector is its own and the others
     are candidates; queries that repeat an id each have their list. Vectors that are null, zero, hold null or non-finite components

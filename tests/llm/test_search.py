@@ -82,3 +82,31 @@ def test_recall_over_shards(spark):
         total += 20
     print("recall", hits / total)
     assert hits >= 0.9 * total
+
+
+def test_the_search_ends_before_all_points_are_verified():
+    """Clustered and spread vectors, in one shard: recall and the share of points that were verified."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(60, 64))
+    clustered = centres[rng.integers(0, 60, 6000)] + 0.4 * rng.normal(size=(6000, 64))
+    spread = rng.normal(size=(3000, 64)) * rng.uniform(0.5, 1, (3000, 1))
+    for x, most in ((clustered, 0.2), (spread, 0.95)):
+        ids, looked, got = np.arange(len(x)), [], {}
+        asked = ids[::50]
+        for place, i, _ in ann.search(ids, x, asked, x[asked], 20, 0.93, looked):
+            got.setdefault(place, set()).add(i)
+        hits = 0
+        for k, i in enumerate(asked):
+            s = x @ x[i]
+            s[i] = -np.inf
+            hits += len(got[k] & set(np.argsort(-s)[:20].tolist()))
+        print("recall", hits / len(asked) / 20, "verified", np.mean(looked) / len(x))
+        assert hits >= 0.9 * 20 * len(asked) and np.mean(looked) < most * len(x)
+
+
+def test_points_come_in_the_order_of_their_distance():
+    rng = np.random.default_rng(13)
+    points = rng.normal(size=(1000, 3))
+    at = rng.normal(size=3)
+    run = [(i, g) for held, gaps in ann.Tree(points).nearest(points, at) for i, g in zip(held.tolist(), gaps.tolist())]
+    assert sorted(i for i, _ in run) == list(range(1000)) and [g for _, g in run] == sorted(g for _, g in run)
