@@ -80,3 +80,30 @@ def motif_summary(mols: DataFrame, most: int = 20) -> DataFrame:
 
 def internal_diversity(mols: DataFrame) -> DataFrame:
     return pairs.internal_diversity(m.fingerprints(mols))
+
+
+def snn(gen: DataFrame, ref: DataFrame) -> DataFrame:
+    """snn: the mean over the generated molecules of the largest similarity to the reference; 0 without any."""
+    prints = lambda x: m.fingerprints(x).select(F.col("words").alias("v"))
+    return pairs.nearest(prints(gen), prints(ref)).agg(F.coalesce(F.try_divide(F.sum(F.col("n") * F.col("best")), F.sum("n")), F.lit(0.0)).alias("snn"))
+
+
+def evaluation(gen: DataFrame, ref: DataFrame, similarities: bool = True) -> DataFrame:
+    """(metric, value): validity, uniqueness and novelty, cosines of fragments and scaffolds, how many of the reference's scaffolds are
+    kept, and, as their work grows with the square of the sets, if asked for: internal diversity, nearest similarity, and the
+    discrepancies of the motif bundle."""
+    scaffold = m.scaffolds
+    kept = scaffold(ref).select("scaffold").distinct().join(scaffold(gen).select("scaffold").distinct().withColumn("kept", F.lit(1)), "scaffold", "left")
+    tables = [
+        m.quality(gen, ref),
+        fragment_cosine(gen, ref).select(F.col("cosine").alias("fragment_cosine")),
+        m.cosine(scaffold(gen), scaffold(ref), "scaffold").select(F.coalesce("cosine", F.lit(0.0)).alias("scaffold_cosine")),
+        kept.agg(F.coalesce(F.try_divide(F.count("kept"), F.count("*")), F.lit(0.0)).alias("scaffold_retention")),
+    ]
+    if similarities:
+        tables += [internal_diversity(gen).select(F.col("diversity").alias("internal_diversity")), snn(gen, ref), motif_bundle(gen, ref)]
+    rows = [t.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in t.columns])).alias("x")).select("x.*") for t in tables]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

@@ -99,6 +99,39 @@ def kernel_sums(vectors: DataFrame, kernel: str, sigma: float = 1.0, tile: int =
     return parts.groupBy("a", "b").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
 
 
+def nearest(vectors: DataFrame, reference: DataFrame, kernel: str = "tanimoto", sigma: float = 1.0, tile: int = TILE) -> DataFrame:
+    """vectors: v, reference: v. (v, n, best): every different vector, how many rows have it, and its largest kernel value to the
+    reference. Tiles of both sides meet in pairs, and a pair gives one number a vector. No rows without a reference."""
+    own, other = vectors.groupBy("v").agg(F.count("*").alias("n")), reference.select("v").distinct()
+    left, right = (max(1, -(-x.count() // tile)) for x in (own, other))
+    fn, kind = KERNELS[kernel], np.int64 if kernel == "tanimoto" else float
+    place = lambda count: F.pmod(F.xxhash64("v"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    a = own.select(place(left).alias("lo"), every(right).alias("hi"), F.lit(0).alias("side"), "v", "n")
+    b = other.select(every(left).alias("lo"), place(right).alias("hi"), F.lit(1).alias("side"), "v", F.lit(0).cast("long").alias("n"))
+    dealt = a.unionByName(b).repartition("lo", "hi").sortWithinPartitions("lo", "hi", "side")
+
+    def best(held):
+        (x, n), (y, _) = held
+        if x and y:
+            top = fn(np.array(x, dtype=kind), np.array(y, dtype=kind), sigma).max(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64() if kind is np.int64 else pa.float64())), pa.array(n, pa.int64()), pa.array(top)], names=["v", "n", "best"])
+
+    def run(batches):
+        now, held = None, (([], []), ([], []))
+        for batch in batches:
+            for lo, hi, side, v, n in zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "side", "v", "n")), strict=True):
+                if (lo, hi) != now:
+                    yield from best(held)
+                    now, held = (lo, hi), (([], []), ([], []))
+                held[side][0].append(v)
+                held[side][1].append(n)
+        yield from best(held)
+
+    word = "long" if kind is np.int64 else "double"
+    return dealt.mapInArrow(run, f"v array<{word}>, n long, best double").groupBy("v").agg(F.max("n").alias("n"), F.max("best").alias("best"))
+
+
 def normalised(hist: Column) -> Column:
     """A histogram as shares of its sum and 1e-6."""
     total = F.aggregate(hist, F.lit(0.0), lambda s, x: s + x) + F.lit(1e-6)

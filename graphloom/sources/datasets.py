@@ -27,34 +27,36 @@ def moses_splits(spark: SparkSession, root: str, sizes: dict[str, int]) -> dict[
     }
 
 
-def qm9_splits(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """Adds split: eight tenths train, one val, one test, exactly, by a seeded order. Tenths come from ranks within 256 slices of the
-    hash, so no task holds all rows."""
+def ranked(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """Adds _place (from 0) in a seeded order and _all, the number of rows. Places come from ranks within 256 slices of the hash, so no
+    task holds all rows."""
     h = F.xxhash64(F.lit(seed), key)
     sliced = rows.withColumn("_h", h).withColumn("_s", F.shiftright("_h", 56))
     before = sliced.groupBy("_s").agg(F.count("*").alias("_n"))
     total = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     before = before.withColumn("_before", F.coalesce(F.sum("_n").over(total), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(F.lit(1))))
     at = F.col("_before") + F.row_number().over(Window.partitionBy("_s").orderBy("_h", key)) - 1
-    part = F.floor(at * 10 / F.col("_all"))
-    return sliced.join(F.broadcast(before.drop("_n")), "_s").withColumn("split", F.when(part < 8, "train").when(part == 8, "val").otherwise("test")).drop("_h", "_s", "_before", "_all")
+    return sliced.join(F.broadcast(before.drop("_n")), "_s").withColumn("_place", at).drop("_h", "_s", "_before")
+
+
+def qm9_splits(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Adds split: eight tenths train, one val, one test, exactly, by a seeded order."""
+    part = F.floor(F.col("_place") * 10 / F.col("_all"))
+    return ranked(rows, key, seed).withColumn("split", F.when(part < 8, "train").when(part == 8, "val").otherwise("test")).drop("_place", "_all")
 
 
 def coconut_splits(rows: DataFrame, key: str, sizes: dict[str, int], seed: int = 42) -> DataFrame:
     """Adds split: the first rows of a seeded order are train, then val, then test; all sizes shrink in proportion where there are
-    fewer rows than they ask for. The order is a top-n of sum(sizes.values()) rows."""
+    fewer rows than they ask for. Other rows leave."""
     want = sum(sizes.values())
-    got = sample(rows, key, want, seed).withColumn("_at", F.xxhash64(F.lit(seed), key))
-    have = rows.limit(want).count()
-    cut, last = [], 0.0
+    shrunk = F.least(F.lit(1.0), F.col("_all") / F.lit(float(max(want, 1))))
+    split, last, ends = F.lit(None).cast("string"), F.lit(0.0), []
     for name in ("train", "val", "test"):
-        last += sizes[name] * min(1.0, have / want if want else 0.0)
-        cut.append((name, int(last)))
-    place = F.row_number().over(Window.orderBy("_at", key))
-    split = F.lit(None).cast("string")
-    for name, end in reversed(cut):
-        split = F.when(F.col("_place") <= end, name).otherwise(split)
-    return got.withColumn("_place", place).withColumn("split", split).where("split IS NOT NULL").drop("_at", "_place")
+        last = last + F.lit(float(sizes[name])) * shrunk
+        ends.append((name, F.floor(last + 1e-9)))
+    for name, end in reversed(ends):
+        split = F.when(F.col("_place") < end, name).otherwise(split)
+    return ranked(rows, key, seed).withColumn("split", split).where("split IS NOT NULL").drop("_place", "_all")
 
 
 def splits(spark: SparkSession, dataset: str, root: str, sizes: dict[str, int], seed: int = 42) -> dict[str, DataFrame]:
@@ -114,12 +116,13 @@ def normal_config(config: dict) -> dict:
     return {**DEFAULTS, **{RENAMED.get(k, k): v for k, v in config.items()}}
 
 
-def export_smiles(train: DataFrame, test: DataFrame, path: str) -> None:
-    """One text: the number of training rows, then the training strings, then the test strings."""
+def export_smiles(train: DataFrame, test: DataFrame, path: str, parts: int = 1) -> None:
+    """A text: the number of training rows, then the training strings, then the test strings. One file; with more parts, files whose
+    names are in the order of the text, each written by a task of its own."""
     count = train.count()
     head = train.sparkSession.createDataFrame([(0, str(count))], "part int, value string")
     body = train.select(F.lit(1).alias("part"), F.col("smiles").alias("value")).unionByName(test.select(F.lit(2).alias("part"), F.col("smiles").alias("value")))
-    head.unionByName(body).repartitionByRange(1, "part").sortWithinPartitions("part", "value").select("value").write.mode("overwrite").text(path)
+    head.unionByName(body).repartitionByRange(parts, "part", "value").sortWithinPartitions("part", "value").select("value").write.mode("overwrite").text(path)
 
 
 def smiles_column(rows: DataFrame) -> DataFrame:
