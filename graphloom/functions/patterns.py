@@ -89,3 +89,20 @@ EVALUATION = {
     "sulfonamide": "[#16X4](=[OX1])(=[OX1])([NX3])[#6]",
     "phosphate": "[PX4](=[OX1])([OX2])([OX2])[OX2]",
 }
+
+#: Groups on a benzene ring. Fixed values.
+SUBSTITUENTS = {
+    "Hydroxyl (-OH)": "cO",
+    "Amino (-NH2)": "cN",
+    "Methyl (-CH3)": "c[CH3]",
+    "Halogen (-X)": "[c;$([cF]),$([cCl]),$([cBr]),$([cI])]",
+    "Fluoro (-F)": "cF",
+    "Chloro (-Cl)": "cCl",
+    "Bromo (-Br)": "cBr",
+    "Carbonyl (C=O)": "cC=O",
+    "Carboxyl (-COOH)": "cC(=O)O",
+    "Nitro (-NO2)": "c[N+](=O)[O-]",
+    "Cyano (-CN)": "cC#N",
+    "Ether (-OR)": "cOC",
+    "Alkyl chain": "c[CH2]",
+}
