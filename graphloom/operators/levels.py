@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,11 @@ def _affinity(n: int, edges: list[tuple[int, int, int]]):
     return kernels.affinity_partition(n, set(weight), weight)
 
 
-METHODS = {"spectral": _spectral, "affinity": _affinity}
+def _simple(n: int, edges: list[tuple[int, int, int]]):
+    return kernels.spectral_partition(n, {(u, v) for u, v, _ in edges}, 0.9, 1.1)
+
+
+METHODS = {"spectral": _spectral, "simple": _simple, "affinity": _affinity}
 
 
 def _communities(method: str):
@@ -54,8 +59,8 @@ def child_of(nodes: Column, communities: Column, node: Column) -> Column:
     return F.get(communities, (F.array_position(nodes, node) - 1).cast("int"))
 
 
-def hierarchy(graphs: DataFrame, method: str = "spectral", min_size: int = MIN_SIZE) -> DataFrame:
-    """parts of all levels. Each round splits the parts of the level before that have min_size nodes or more; a part that its
+def hierarchy(graphs: DataFrame, method: str = "spectral", min_size: int = MIN_SIZE, depth: int | None = None) -> DataFrame:
+    """parts of all levels, or of no more than `depth` below the whole graph. Each round splits the parts of the level before that have min_size nodes or more; a part that its
     method doesn't split stays a leaf. Children are numbered by their first node, and follow from their parent's row alone, so no
     level is shuffled; each is staged. Rounds: the deepest path."""
     every = F.when(F.size("ids") > 0, F.sequence(F.lit(0), F.size("ids") - 1)).otherwise(F.array().cast("array<int>"))
@@ -64,8 +69,9 @@ def hierarchy(graphs: DataFrame, method: str = "spectral", min_size: int = MIN_S
     schema = f"graph_id {kind}, path array<int>, nodes array<int>, edges {EDGES}, communities array<int>"
     level, done = whole, []
     while True:
-        split = level.where(F.size("nodes") >= min_size).mapInPandas(_communities(method), schema)
-        small = level.where(F.size("nodes") < min_size).withColumn("communities", F.lit(None).cast("array<int>"))
+        open_ = F.size("nodes") >= (min_size if depth is None or len(done) < depth else 1 << 30)
+        split = level.where(open_).mapInPandas(_communities(method), schema)
+        small = level.where(~open_).withColumn("communities", F.lit(None).cast("array<int>"))
         now = staged(split.unionByName(small), "parts")
         done.append(now)
         inner = now.where("communities IS NOT NULL")
@@ -119,3 +125,31 @@ def level_sizes(parts: DataFrame) -> DataFrame:
     """(graph_id, level, parts, nodes, largest)."""
     n = F.size("nodes").cast("long")
     return parts.groupBy("graph_id", F.size("path").cast("long").alias("level")).agg(F.count("*").alias("parts"), F.sum(n).alias("nodes"), F.max(n).alias("largest"))
+
+
+# ---------------------------------------------------------------- motifs
+
+
+def motif_communities(graphs: DataFrame, matches: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """matches: graph_id, atoms (places). (graph_id, communities, cohesion): spectral communities of the adjacency and alpha times the
+    affinities, how many matches two nodes share, while modularity judges the plain graph; and the share of matches that lie in one
+    community, 1 where there are none."""
+    held = matches.groupBy("graph_id").agg(F.collect_list("atoms").alias("motifs"))
+    lean = graphs.select("graph_id", F.size("ids").alias("n"), "edges").join(held, "graph_id", "left")
+
+    def run(frames):
+        for f in frames:
+            parts, shares = [], []
+            for n, edges, motifs in zip(f.n, f.edges, f.motifs, strict=True):
+                motifs = [[int(x) for x in a] for a in motifs] if motifs is not None else []
+                more = np.zeros((n, n))
+                for a in motifs:
+                    more[np.ix_(a, a)] += 1
+                np.fill_diagonal(more, 0)
+                found = [int(c) for c in kernels.spectral_partition(int(n), {(int(e["u"]), int(e["v"])) for e in edges}, more=more, alpha=alpha)]
+                first: dict[int, int] = {}
+                parts.append([first.setdefault(c, len(first)) for c in found])
+                shares.append(float(np.mean([len({found[x] for x in a}) <= 1 for a in motifs])) if motifs else 1.0)
+            yield pd.DataFrame({"graph_id": f.graph_id, "communities": parts, "cohesion": shares})
+
+    return lean.mapInPandas(run, f"graph_id {graphs.schema['graph_id'].dataType.simpleString()}, communities array<int>, cohesion double")

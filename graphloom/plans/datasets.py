@@ -14,7 +14,8 @@ from graphloom.operators import molecules as m
 from graphloom.plans.baskets import _BASKETS, basket_graphs
 from graphloom.plans.derived import _CHAINS, chains
 from graphloom.plans.moments import _FRAGMENTS
-from graphloom.sources.datasets import cached_tokens
+from graphloom.sources.datasets import _exists, cached_tokens
+from graphloom.sources.molecules import sample
 from graphloom.sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,20 @@ def molecule_graphs(mols: DataFrame) -> DataFrame:
     return held.select(F.col("mol_id").alias("graph_id"), ids.alias("ids"), F.transform("a", lambda x: x["label"]).alias("labels"), F.coalesce("edges", F.array()).cast(levels.EDGES).alias("edges"))
 
 
+def reference_graphs(spark: SparkSession, mols: DataFrame, path: str, n: int) -> DataFrame:
+    """Graphs of n molecules, the same on every run, written to path unless they are there."""
+    if not _exists(spark, path):
+        molecule_graphs(sample(mols, "mol_id", n)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def export_json(mols: DataFrame, tokens: DataFrame, path: str) -> None:
+    """A JSON line a molecule: its string, atoms, bonds and tokens."""
+    held = molecule_graphs(mols).select(F.col("graph_id").alias("mol_id"), F.col("labels").alias("atoms"), F.col("edges").alias("bonds"))
+    told = mols.select("mol_id", "smiles").join(held, "mol_id").join(tokens.select(F.col("graph_id").alias("mol_id"), "tokens"), "mol_id", "left")
+    told.write.mode("overwrite").json(path)
+
+
 def tokenise(graphs: DataFrame, scheme: str, method: str = "spectral", nodes: int | None = None, seed: int = 0) -> DataFrame:
     """(graph_id, tokens) of graphs under a scheme: hsent, hdt and hdtc over the hierarchy that `method` finds, flat as seeded walks."""
     graphs = staged(graphs, "graphs")
@@ -78,6 +93,17 @@ def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("graphs"), F.bool_and(F.size("r.tokens") == F.col("length")).alias("even"))
 
 
+def _order_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basket graphs with orders of three parts or more as motifs: nodes, communities and cohesion."""
+    graphs = staged(basket_graphs(spark, sf_dir), "baskets")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("graph_id"))
+    held = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_partkey").alias("parts")).where("size(parts) > 2")
+    places = F.transform("parts", lambda x: (F.array_position("ids", x) - 1).cast("int"))
+    matches = held.join(orders, "o_orderkey").join(graphs.select("graph_id", "ids"), "graph_id").select("graph_id", places.alias("atoms"))
+    out = levels.motif_communities(graphs, matches)
+    return out.select("graph_id", F.size("communities").cast("long").alias("nodes"), F.col("cohesion").between(0, 1).alias("bounded"))
+
+
 _ATOMS = f"""WITH {_CHAINS} SELECT mol_id, c + k + 6 * p AS carbon, nn AS nitrogen, o + k AS oxygen, n - 1 AS single, k AS double, 6 * p AS aromatic FROM mol"""
 
 DATASETS: dict[str, tuple[Query, str | None]] = {
@@ -85,6 +111,7 @@ DATASETS: dict[str, tuple[Query, str | None]] = {
     "molecule_tokens_hsent": (_chain_round_trip("hsent"), _ATOMS),
     "molecule_tokens_flat": (_chain_round_trip("flat"), _ATOMS),
     "token_batches": (_batched, f"WITH {_BASKETS} SELECT count(DISTINCT graph_id) AS graphs, true AS even FROM l"),
+    "motif_aware_communities": (_order_cohesion, f"WITH {_BASKETS} SELECT graph_id, count(DISTINCT p) AS nodes, true AS bounded FROM l GROUP BY graph_id"),
     "evaluation": (
         lambda s, d: molmetrics.evaluation(chains(s, d, "OP"), chains(s, d, "F"), similarities=False).withColumn("value", F.round("value", 9)),
         f"""WITH {_FRAGMENTS}, q AS (SELECT avg(CASE WHEN status = 'O' THEN 1.0 ELSE 0.0 END)::DOUBLE AS validity, count(DISTINCT CASE WHEN status = 'O' THEN canon END) / count(*) FILTER (status = 'O')::DOUBLE AS uniqueness,

@@ -22,6 +22,13 @@ def read_smi(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where((line != "") & ~line.startswith("#")).select(F.split(line, r"\s+")[0].alias("smiles"))
 
 
+def read_qm9(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+    """smiles of a table exported as Parquet, or as CSV with a header: rows that have one, all or the first n."""
+    raw = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.option("header", True).csv(path)
+    rows = raw.select("smiles").where("smiles IS NOT NULL AND smiles <> ''")
+    return rows if n is None else rows.limit(n)
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows by a seeded hash of key: the same rows on every run and cluster."""
     return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)

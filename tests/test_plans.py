@@ -72,3 +72,36 @@ def test_nearest_in_tiles(spark):
         got = {tuple(r.v): (r.n, r.best) for r in pairs.nearest(df([*a, a[0]]), df(b), tile=tile).collect()}
         assert len(got) == 30 and got[tuple(a[0])][0] == 2
         assert all(got[tuple(x)][1] == pytest.approx(max(similar(x, y) for y in b)) for x in a)
+
+
+def test_readers_references_and_json(spark, tmp_path):
+    from graphloom.sources.molecules import read_qm9
+
+    spark.createDataFrame([(1, "CCO"), (2, None), (3, ""), (4, "CN")], "id int, smiles string").coalesce(1).write.parquet(f"{tmp_path}/q.parquet")
+    assert [r.smiles for r in read_qm9(spark, f"{tmp_path}/q.parquet").collect()] == ["CCO", "CN"] and read_qm9(spark, f"{tmp_path}/q.parquet", 1).count() == 1
+    spark.createDataFrame([("C", 1)], "smiles string, n int").write.option("header", True).csv(f"{tmp_path}/q.csv")
+    assert read_qm9(spark, f"{tmp_path}/q.csv").collect() == [("C",)]
+    mols = spark.createDataFrame(list(enumerate(SMILES)), "mol_id long, smiles string")
+    one = datasets.reference_graphs(spark, mols, f"{tmp_path}/ref", 4)
+    assert sorted(map(str, one.collect())) == sorted(map(str, datasets.reference_graphs(spark, mols.limit(0), f"{tmp_path}/ref", 4).collect()))
+    tokens = datasets.tokenise(datasets.molecule_graphs(mols), "hdt")
+    datasets.export_json(mols, tokens, f"{tmp_path}/json")
+    held = {r.mol_id: r for r in spark.read.json(f"{tmp_path}/json").collect()}
+    assert set(held) == {0, 1, 2, 3, 4} and held[0].smiles == "CCO" and held[0].atoms == [0, 0, 2] and len(held[0].tokens) > 10
+
+
+def test_motif_aware_communities(spark):
+    from graphs import frame
+
+    from graphloom.operators import levels
+
+    cliques = [(a, b, 0) for k in range(3) for a in range(4 * k, 4 * k + 4) for b in range(a + 1, 4 * k + 4)]
+    graphs = {0: (list(range(12)), [0] * 12, sorted([*cliques, (3, 4, 0), (7, 8, 0)])), 1: ([0, 1], [0, 0], [(0, 1, 0)])}
+    df = frame(spark, graphs)
+    matches = spark.createDataFrame([(0, [0, 1, 2, 3]), (0, [4, 5, 6, 7]), (0, [3, 4])], "graph_id long, atoms array<int>")
+    plain = {r.graph_id: r for r in levels.motif_communities(df, matches, 0.0).collect()}
+    assert plain[0].communities == [0] * 4 + [1] * 4 + [2] * 4 and plain[0].cohesion == pytest.approx(2 / 3) and plain[1].cohesion == 1.0
+    pulled = {r.graph_id: r for r in levels.motif_communities(df, spark.createDataFrame([(0, [2, 3, 4, 5])], "graph_id long, atoms array<int>"), 50.0).collect()}
+    assert len(set(pulled[0].communities[2:6])) == 1
+    single = levels.hierarchy(df, "simple", depth=1).collect()
+    assert max(len(r.path) for r in single) == 1 and sum(r.graph_id == 0 and len(r.path) == 1 for r in single) == 3
