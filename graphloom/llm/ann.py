@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from graphloom.llm._shared import partitions, small_batches, staged
 
 DIMS = 16
-SHARD, BLOCK, LEAF = 8192, 2048, 128
+SHARD, BLOCK, LEAF = 8192, 2048, 1024
 #: Points that are verified between two looks at the stopping test.
-STEP = 64
+STEP = 512
 #: Parts into which the shards' answers to one query are dealt before they are merged.
 MERGE = 64
 
@@ -80,7 +80,7 @@ class Tree:
 
 
 def _runs(held: np.ndarray, gaps: np.ndarray):
-    order = np.argsort(gaps, kind="stable")
+    order = np.argsort(gaps)
     for lo in range(0, len(order), STEP):
         part = order[lo : lo + STEP]
         yield held[part], gaps[part]
@@ -111,20 +111,21 @@ def search(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.
     top = float(norms.max())
     plane = np.random.default_rng(11).standard_normal((points.shape[1] + 1, DIMS))
     low = unit @ plane[:-1] + np.sqrt(top - norms)[:, None] * plane[-1]
-    tree = Tree(low)
+    tree, lean = Tree(low), unit.astype(np.float32)  # five more than k are kept, and told apart in double precision at the end
     bar = chi_square_quantile(p)
     for place, (qid, q) in enumerate(zip(q_ids.tolist(), queries, strict=True)):
         own = where.get((q + 0.0).tobytes(), -1)
         q_unit = q / np.abs(q).max()
         base = top + q_unit @ q_unit
         got, scores = np.zeros(0, np.int64), np.zeros(0)
-        seen = 0
+        seen, lean_q = 0, q_unit.astype(np.float32)
         for new, gaps in tree.nearest(low, q_unit @ plane[:-1]):
             if len(scores) > k and gaps[0] >= bar * max(0.0, base - 2 * scores[k]):
                 break
             seen += len(new)
-            got, scores = np.concatenate([got, new]), np.concatenate([scores, unit[new] @ q_unit])
-            best = np.argsort(-scores, kind="stable")[: k + 6]
+            got, scores = np.concatenate([got, new]), np.concatenate([scores, (lean[new] @ lean_q).astype(float)])
+            best = np.argpartition(-scores, k + 5)[: k + 6] if len(scores) > k + 6 else np.arange(len(scores))
+            best = best[np.argsort(-scores[best])]
             got, scores = got[best], scores[best]
         if looked is not None:
             looked.append(seen)
