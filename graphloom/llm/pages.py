@@ -154,7 +154,7 @@ class Page:
             if name in BLOCK:
                 self._flush()
             if name in RAW:
-                end = _RAW_END[name].search(page, at)
+                end = _RAW_END[name].search(page, at) if at <= last else None
                 at = end.end() if end else len(page)
             elif name == "br":
                 self._say(" ")

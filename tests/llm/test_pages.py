@@ -88,6 +88,13 @@ def test_linear_on_broken_and_deep_pages():
         assert took[1] < 4, (text, took)
 
 
+def test_linear_after_an_open_script():
+    for head, text in (("<script>", "</script "), ("<p>x<style>", "</style\n"), ("<textarea>", "</textarea x=' ")):
+        began = time.time()
+        pages.main_text(head + text * 40_000, None)
+        assert time.time() - began < 4, text
+
+
 def test_reading():
     read = lambda raw: pages.main_text(raw, None)
     assert read("<ul><li>a<li>b<p>c</ul><table><tr><td>1<td>2<tr><td>3</table><dl><dt>x<dd>y</dl>") == "a\n\nb\n\nc\n\n1\n\n2\n\n3\n\nx\n\ny"
