@@ -12,7 +12,7 @@ from graphloom.operators import classifier
 from graphloom.operators import metrics as m
 from graphloom.plans.baskets import _read
 from graphloom.plans.collections import _events
-from graphloom.plans.derived import _chain, chains
+from graphloom.plans.derived import _chain, on_chains
 from graphloom.plans.moments import clustering_shapes, spectral_shapes
 from graphloom.sources.staging import staged
 
@@ -21,7 +21,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def udtf_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.register(spark)
-    return spark.sql("SELECT mol_id, count(*) AS n, sum(size(m.atoms)) AS atoms FROM {mols}, LATERAL motif_matches(smiles, 'c1ccccc1') m GROUP BY mol_id", mols=chains(spark, sf_dir))
+    text = "SELECT mol_id, count(*) AS n, sum(size(m.atoms)) AS atoms FROM {mols}, LATERAL motif_matches(smiles, 'c1ccccc1') m GROUP BY mol_id"
+    return on_chains(lambda x: spark.sql(text, mols=x))(spark, sf_dir)
 
 
 def udtf_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
