@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import codecs, levels, reports
 from graphloom.operators import metrics as mt
+from graphloom.operators import molecules as m
 from graphloom.plans.datasets import molecule_graphs
-from graphloom.plans.derived import _CHAINS, _chain, chains
+from graphloom.plans.derived import _CHAINS, _chain, chains, on_chains
 from graphloom.plans.moments import _EVAL, _EVALUATED
 from graphloom.sources.staging import staged
 
@@ -24,24 +25,33 @@ def _histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.withColumn("value", F.round("value", 9))
 
 
-def _strained(spark: SparkSession, sf_dir: str) -> DataFrame:
+@m.once_a_string
+def _strained(mols: DataFrame, doubled: bool) -> DataFrame:
+    """What is wrong with the molecules as graphs, if the bonds between pieces are doubled."""
+    graphs = molecule_graphs(mols)
+    if doubled:
+        twice = F.transform("edges", lambda e: F.struct(e["u"].alias("u"), e["v"].alias("v"), F.when(e["label"] == 0, 1).otherwise(e["label"]).alias("label")))
+        graphs = graphs.withColumn("edges", twice.cast(levels.EDGES))
+    return reports.analyse(staged(graphs, "strained"))
+
+
+def _all_analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains as graphs; in those of reference orders the bonds between pieces are doubled."""
-    graphs = molecule_graphs(chains(spark, sf_dir)).withColumnRenamed("graph_id", "mol_id").join(chains(spark, sf_dir, "F").select("mol_id", F.lit(1).alias("f")), "mol_id", "left")
-    doubled = F.transform("edges", lambda e: F.struct(e["u"].alias("u"), e["v"].alias("v"), F.when((F.col("f") == 1) & (e["label"] == 0), 1).otherwise(e["label"]).alias("label")))
-    return staged(graphs.select(F.col("mol_id").alias("graph_id"), "ids", "labels", doubled.cast(levels.EDGES).alias("edges")), "strained")
+    return _strained(chains(spark, sf_dir, "O"), False).unionByName(_strained(chains(spark, sf_dir, "F"), True))
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.batch_report(reports.analyse(_strained(spark, sf_dir))).withColumn("boundary_ratio", F.round("boundary_ratio", 9))
+    return reports.batch_report(_all_analysed(spark, sf_dir)).withColumn("boundary_ratio", F.round("boundary_ratio", 9))
 
 
 def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.analyse(_strained(spark, sf_dir)).select("graph_id", "valid", F.col("num_atoms").cast("long").alias("num_atoms"), F.size("violations").cast("long").alias("violations"))
+    return _all_analysed(spark, sf_dir).select("graph_id", "valid", F.col("num_atoms").cast("long").alias("num_atoms"), F.size("violations").cast("long").alias("violations"))
 
 
-def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+@on_chains
+def _lengths(mols: DataFrame) -> DataFrame:
     """Tokens of whole molecules: one part each."""
-    graphs = staged(molecule_graphs(chains(spark, sf_dir)), "molecules")
+    graphs = staged(molecule_graphs(mols), "molecules")
     tokens = codecs.tokens_of(graphs, levels.hierarchy(graphs, "affinity", min_size=1 << 30), "hdt")
     return reports.token_stats(graphs, tokens)
 
