@@ -22,8 +22,9 @@ BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Stripes that the ids of side B are dealt to by remainder. A stripe's block has a row for each of its ids and a column for each A id.
 STRIPES = 1000
 #: Segments of texts that a chunk of rows holds, but for a longer single text; bytes of segments that a worker remembers.
-#: STEP: characters that are cut and encoded together.
-CHUNK, REMEMBERED, STEP = 1_000_000, 1 << 27, 1 << 21
+#: STEP: characters that are cut together; PART: characters of new segments that are encoded together, as an encoder holds some
+#: hundred bytes a token.
+CHUNK, REMEMBERED, STEP, PART = 1_000_000, 1 << 26, 1 << 19, 1 << 17
 #: Cells that one task counts or answers for a stripe; a stripe with more is dealt to several tasks first.
 CELLS = 1 << 28
 
@@ -163,21 +164,24 @@ class _Known:
 
     def forget(self):
         self.number_of: dict[str, int] = {}
-        self.told: list[Aligned] = []
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
         self.groups: list[bytes] = []
         self.counts = np.zeros((5, 0), dtype=np.int64)
         self.held = 0
 
     def meet(self, segments: list[str]) -> None:
-        for at in range(0, len(segments), 8192):
-            part = segments[at : at + 8192]
+        # parts of at most some PART characters, or one longer segment, and of 8192 segments
+        ends = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments))) // PART + np.arange(len(segments)) // 8192
+        for at, to in itertools.pairwise([0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(segments)] if segments else []):
+            part = segments[at:to]
             told = self.pair.segments(part)
             first = len(self.groups)
             self.groups += told.groups
-            self.told.append(told)
+            self.links.append((told.link_a.astype(np.int32), told.link_b.astype(np.int32)))
             self.counts = np.concatenate([self.counts, np.stack([told.ok, told.n_a, told.n_b, told.n_groups, told.n_links])], axis=1)
             self.number_of.update(zip(part, range(first, first + len(part)), strict=True))
-            self.held += sum(map(len, part)) * 8 + 300 * len(part)
+            # text and groups, links of 8 bytes, and what Python keeps for a segment
+            self.held += sum(map(len, part)) * 2 + sum(map(len, told.groups)) + 8 * len(told.link_a) + 400 * len(part)
 
 
 @functools.lru_cache(maxsize=1)
@@ -225,13 +229,15 @@ class _Chunk:
         number = np.zeros(len(self.known.groups), dtype=np.int32)
         number[used] = np.arange(len(used))
         every_size = self.known.counts[4]
-        link_a, link_b = (np.concatenate([getattr(t, x) for t in self.known.told] or [every]) for x in ("link_a", "link_b"))
         sizes = every_size[used]
         at = ragged((np.cumsum(every_size) - every_size)[used], sizes)
-        a, b = link_a[at], link_b[at]
+        a, b = (np.concatenate([x[side] for x in self.known.links] or [every])[at].astype(np.int64) for side in (0, 1))
+        del at, every
         width = -(-self.pair.n_b // self.stripes)
         code = ((b % self.stripes) * width + b // self.stripes) * self.pair.n_a + a
+        del a, b
         cells, where = np.unique(code, return_inverse=True)
+        del code
         n = np.bincount(where, weights=np.repeat(n_used, sizes), minlength=len(cells)).astype(np.int64)
         stripe = cells // (width * self.pair.n_a)
         bounds = np.searchsorted(stripe, np.arange(self.stripes + 1))

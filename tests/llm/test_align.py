@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -96,3 +97,20 @@ def test_query_holds_every_document(spark):
     rows = llm_queries()["op13_align_tokenizers"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(r.n_links >= max(r.n_a, r.n_b) >= r.n_groups and r.n_best <= r.n_links for r in rows)
+
+
+def test_segments_are_encoded_in_parts_of_bounded_length():
+    class Told:
+        sizes: list = []
+
+        def segments(self, part):
+            self.sizes.append((len(part), sum(map(len, part))))
+            none = np.zeros(len(part), dtype=np.int64)
+            return align.Aligned(none == 0, none, none, none, none, none[:0], none[:0], [b""] * len(part))
+
+    pair = Told()
+    known = align._Known(pair)
+    known.meet([f" {k:06d}" + "x" * 5000 for k in range(400)] + [" " + "y" * 1_000_000] + [f" {k}" for k in range(20_000)])
+    assert len(known.number_of) == sum(n for n, _ in pair.sizes) == 20_401
+    assert max(n for n, _ in pair.sizes) <= 8192
+    assert max(size for _, size in pair.sizes if size < 1_000_000) <= 1 << 18
