@@ -51,3 +51,26 @@ def test_no_graphs(spark):
 @pytest.mark.parametrize("name", ["hierarchy_spectral_edges", "hierarchy_affinity_edges", "hierarchy_cover"])
 def test_queries(spark, name):
     compare(BASKET_QUERIES[name](spark, SF), BASKET_ORACLES[name], SF)
+
+
+@pytest.mark.parametrize("method", ["spectral", "affinity"])
+def test_parts_of_one_size_are_split_in_one_step(method):
+    """Many graphs take as few steps as one, and give what each gives alone."""
+    graphs = [(len(ids), edges) for ids, _, edges in labelled().values()] * 5
+    steps = []
+
+    def find(n, alike):
+        steps.append(n)
+        return levels.METHODS[method](n, alike)
+
+    together = sorted(levels._parts(find, graphs, levels.MIN_SIZE, None), key=lambda x: x[:2])
+    alone = [(g, *part[1:]) for g, graph in enumerate(graphs) for part in levels._parts(levels.METHODS[method], [graph], levels.MIN_SIZE, None)]
+    assert together == sorted(alone, key=lambda x: x[:2])
+    levels_of = {n: max((len(p[1]) for p in together if len(p[2]) == n), default=0) + 1 for n in set(steps)}
+    assert all(steps.count(n) <= levels_of[n] for n in steps)
+
+
+def test_edges_come_back_without_joins_of_parts(spark):
+    df = frame(spark, labelled())
+    plan = levels.reconstruct(levels.hierarchy(df))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
