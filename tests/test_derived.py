@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from oracle import compare
 
 from graphloom.operators import runs
@@ -23,3 +24,26 @@ def test_long_and_circular_lineage(spark):
     with pytest.raises(ValueError, match="circle"):
         runs.lineage(spark.createDataFrame([(1, 2, {}), (2, 3, {}), (3, 1, {})], kind))
     assert runs.lineage(spark.createDataFrame([], kind)).collect() == []
+
+
+def test_runs_that_are_done_dont_meet_in_one_task(spark, monkeypatch):
+    """Of 4,000 runs all but a few have no parent: a round's rows are dealt over its tasks all the same."""
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    largest, write = [], runs.staged
+
+    def watched(df, tag):
+        largest.append(max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()))
+        return write(df, tag)
+
+    monkeypatch.setattr(runs, "staged", watched)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = [(i, i - 1 if i % 100 == 1 else None, {"k": str(i)} if i % 2 == 0 else None) for i in range(4000)]
+        out = {r.run_id: r.settings for r in runs.lineage(spark.createDataFrame(rows, "run_id int, parent int, settings map<string,string>")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(out) == 4000 and out[101] == {"k": "100"} and out[3] == {}
+    assert len(largest) > 1 and max(largest[1:]) < 2000
