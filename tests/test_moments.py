@@ -131,3 +131,20 @@ def test_graph_bundle(spark):
     one = MOMENTS["graph_metric_bundle"][0](spark, SF).first()
     assert one.degree == pytest.approx(COLLECTIONS["degree_mmd"](spark, SF).first()[0], abs=1e-9)
     assert one.clustering == pytest.approx(MOMENTS["clustering_mmd"][0](spark, SF).first()[0], abs=1e-9) and 0 <= one.spectral < 1
+
+
+def test_rows_of_tiles_grow_with_the_table(spark, monkeypatch):
+    """Each vector goes to as many pairs as there are tiles; up to MOST vectors a tile their number stays what keeps cores busy."""
+    monkeypatch.setattr(pairs, "PAIRS", 1)
+    x = np.random.default_rng(5).normal(size=(400, 3))
+    df = spark.createDataFrame([("gen" if i % 2 else "ref", v.tolist()) for i, v in enumerate(x)], "side string, v array<double>")
+    dealt = []
+    repartition = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: (dealt.append(self.count()), repartition(self, *a))[1])
+    got = {(r.a, r.b): r.total for r in pairs.kernel_sums(df, "gaussian", 1.0, 2).collect()}
+    gap = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    k = np.exp(-gap / 2)
+    assert abs(got["gen", "ref"] - k[1::2, ::2].sum()) < 1e-9 and abs(got["gen", "gen"] - k[1::2, 1::2].sum()) < 1e-9
+    assert dealt == [400 * (int(spark.sparkContext.defaultParallelism**0.5) + 1)]
+    with pytest.raises(Exception, match="differ in length"):
+        pairs.kernel_sums(spark.createDataFrame([("a", [1.0]), ("a", [1.0, 2.0])], "side string, v array<double>"), "gaussian").collect()
