@@ -62,3 +62,15 @@ def test_molecules_are_counted_before_they_are_read(spark):
     assert {r.motif: r.mols for r in found.collect()}["Hydroxyl (-OH)"] == 51
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert reports.substituents(many).count() == 50 + reports.substituents(mols(spark, "COc1ccccc1Cl")).count()
+
+def test_graphs_are_judged_where_their_rows_are(spark):
+    """No join, and no shuffle after the strings are counted: a row of a string comes from one pass over it."""
+    rows = [("odd", [0, 1], [0, 2], [(0, 1, 0), (0, 1, 2), (1, 1, 0), (0, 7, 1)]), ("null", [0, 1], [None, 0], [(0, 1, None)])]
+    judged = reports.analyse(spark.createDataFrame(rows, KIND))
+    assert not any(x in judged._jdf.queryExecution().executedPlan().toString() for x in ("Join", "Exchange"))
+    got = {r.graph_id: (r.valid, [(v.idx, v.used, v.allowed) for v in r.violations]) for r in judged.collect()}
+    assert got == {"odd": (False, [(0, 6.0, 4), (1, 6.0, 2)]), "null": (True, [])}
+    assert "Join" not in REPORTS["molecule_report"][0](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    mixed = spark.createDataFrame([("good", [0, 1], [0, 2], [(0, 1, 0)]), ("bad", [0, 1], [0, 2], [(0, 1, 2)])], KIND)
+    weighed = reports.analyse(mixed).selectExpr("*", "IF(graph_id = 'bad', 3, 2) AS n")
+    assert tuple(reports.batch_report(weighed, "n").first())[:3] == (5, 2, 3)
