@@ -11,7 +11,7 @@ from graphloom.operators import codecs, levels, reports
 from graphloom.operators import metrics as mt
 from graphloom.operators import molecules as m
 from graphloom.plans.datasets import molecule_graphs
-from graphloom.plans.derived import _CHAINS, _chain, chains, on_chains
+from graphloom.plans.derived import _CHAINS, _chain, chains, on_chains, sides
 from graphloom.plans.moments import _EVAL, _EVALUATED
 from graphloom.sources.staging import staged
 
@@ -42,12 +42,12 @@ def _all_analysed(o: DataFrame, f: DataFrame) -> DataFrame:
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Molecules are counted by string; the counts stand where their keys would."""
-    found = _all_analysed(*(m.counted_strings(chains(spark, sf_dir, x)) for x in "OF"))
+    found = _all_analysed(*map(m.counted_strings, sides(spark, sf_dir, "O", "F")))
     return reports.batch_report(found, "graph_id").withColumn("boundary_ratio", F.round("boundary_ratio", 9))
 
 
 def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_analysed(chains(spark, sf_dir, "O"), chains(spark, sf_dir, "F")).select("graph_id", "valid", F.col("num_atoms").cast("long").alias("num_atoms"), F.size("violations").cast("long").alias("violations"))
+    return _all_analysed(*sides(spark, sf_dir, "O", "F")).select("graph_id", "valid", F.col("num_atoms").cast("long").alias("num_atoms"), F.size("violations").cast("long").alias("violations"))
 
 
 @on_chains

@@ -1,7 +1,9 @@
 """Molecules whose strings repeat: the work follows the different strings, the rows all molecules."""
 
+from pyspark.sql import functions as F
+
 from graphloom.operators import molecules as m
-from graphloom.operators import molmetrics
+from graphloom.operators import molmetrics, pairs
 
 
 def _mols(spark):
@@ -30,3 +32,20 @@ def test_every_molecule_gets_its_rows(spark):
     assert m.functional_communities(mols, m.functional_groups(mols)).count() == m.functional_communities(mols).count()
     assert molmetrics.motif_vectors(mols).count() == 200
     assert [tuple(r) for r in m.quality(mols, mols.where("smiles = 'CCO'")).collect()] == [(0.5, 0.01, 0.5)]
+
+
+def test_two_sets_are_compared_over_strings_read_once(spark):
+    """Each side's strings are read in one pass that is staged with their numbers; no row a molecule is joined after it."""
+    mols = _mols(spark)
+    other = spark.createDataFrame([(0, "CCO"), (1, "CCN"), (2, "Cc1ccccc1"), (3, "Cc1ccccc1")], "mol_id long, smiles string")
+    told = molmetrics.evaluation(mols, other, similarities=False)
+    assert "MapIn" not in told._jdf.queryExecution().executedPlan().toString()
+    once = {r.metric: r.value for r in told.collect()}
+    assert (once["validity"], once["uniqueness"], once["novelty"]) == (0.5, 0.01, 0.0)
+    a, b = molmetrics.fragments(mols), molmetrics.fragments(other)
+    assert abs(once["fragment_cosine"] - m.cosine(a, b, "fragment").first()[0]) < 1e-12
+    assert abs(once["scaffold_cosine"] - m.cosine(m.scaffolds(mols), m.scaffolds(other), "scaffold").first()[0]) < 1e-12
+    bundle = molmetrics.motif_bundle(mols, other)
+    assert "MapInPandas" not in bundle._jdf.queryExecution().executedPlan().toString()
+    each = {k: pairs.mmd(v(mols).select(F.lit("gen").alias("side"), "v").unionByName(v(other).select(F.lit("ref").alias("side"), "v"))).first()[0] for k, v in (("smarts", molmetrics.motif_vectors), ("ring", molmetrics.ring_vectors))}
+    assert all(abs(bundle.first()[f"motif_{k}_mmd"] - v) < 1e-12 for k, v in each.items())
