@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from oracle import compare
@@ -47,3 +49,10 @@ def test_runs_that_are_done_dont_meet_in_one_task(spark, monkeypatch):
             spark.conf.set(k, v)
     assert len(out) == 4000 and out[101] == {"k": "100"} and out[3] == {}
     assert len(largest) > 1 and max(largest[1:]) < 2000
+
+
+@pytest.mark.parametrize("name", ["part_reconstruct", "singleton_merge", "part_bipartites"])
+def test_edges_meet_parts_in_a_row_a_graph(spark, name):
+    """A graph's edges are shuffled as one row; none goes by its ends, and no row an edge is made distinct."""
+    plan = DERIVED[name][0](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(graph_id#\w+, (src|dst|node|community|u|v|part_id#\w+, src_local|left_part)", plan)
